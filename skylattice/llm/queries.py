@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, packing, tokenbin
 
 QUERIES = {
     "op1_preference_format": chat.query,
+    "op5_best_fit_pack": packing.query,
     "op6_weighted_fair_mix": mixing.query,
+    "op8_huffman_tokens": tokenbin.query,
 }
 ORACLES = {
     "op1_preference_format": chat.ORACLE,
