@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, staged
 
 #: Most copies of a document, and so most of a source's target in its sizes.
 MOST = 3
@@ -54,6 +54,8 @@ def _queued(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     are made in hash buckets of about BUCKET_ROWS documents, so that a hot source is spread over many tasks."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("_key"), *row)
+    if not carry:
+        x = staged(x)  # words are counted once
     s = source_targets(x.select("source", "size")).withColumnRenamed("source", "_of")
     x = x.join(s, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     parts = F.ceil(F.col("n_docs") / BUCKET_ROWS).cast("long")
@@ -86,9 +88,9 @@ def _crossing(bins: DataFrame, column: str, spent: int, budget: int) -> tuple[in
 def mix(docs: DataFrame, seed: int = 7, budget: int | None = None, carry: bool = False) -> DataFrame:
     """Every document with size, source_size, target, copies and taken (= copies * size); with carry also `_row`, the
     document's own columns. budget: total words, all sizes by default (then targets sum to it)."""
-    light = _queued(docs, seed, False)
+    light = staged(_queued(docs, seed, False))
     if budget is None:
-        budget = docs.agg(F.sum(n_words(F.col("text")))).head()[0] or 0
+        budget = light.agg(F.sum("size")).head()[0] or 0
     epochs = F.array(*[F.lit(e).cast("long") for e in range(MOST)])
     copies = light.filter("size > 0").withColumn("_e", F.explode(epochs)).withColumn("_f", _finish(F.col("_e"))).withColumn("_bin", _bin(F.col("_f")))
     first = copies.groupBy(F.shiftright("_bin", 12).alias("_hi")).agg(F.sum("size").alias("_words"))
