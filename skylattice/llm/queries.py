@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, tokenbin
+from . import chat, langid, mixing, packing, quality, rules, tokenbin
 
 QUERIES = {
     "op1_preference_format": chat.query,
+    "op3_ecoc_language": langid.query,
     "op5_best_fit_pack": packing.query,
     "op6_weighted_fair_mix": mixing.query,
+    "op7_subword_quality": quality.query,
     "op8_huffman_tokens": tokenbin.query,
+    "op10_divergence_rules": rules.query,
 }
 ORACLES = {
     "op1_preference_format": chat.ORACLE,
