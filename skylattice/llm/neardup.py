@@ -7,9 +7,9 @@ labelled shingles, within the band that the threshold leaves, must make L / (a +
 components of the verified links.
 
 A bucket is never expanded into all its pairs at once. Its members meet one pivot; then members that are still apart from the
-bucket's other members meet further pivots, until a bucket is one class or all its pairs were tried: after PIVOT_ROUNDS, what is
-left of a bucket is tried in full, in blocks. So no link between texts of a bucket is lost, and one large class costs a row for each
-member.
+bucket's other members meet further pivots. After PIVOT_ROUNDS, all pairs of what is still apart in a bucket are compared in blocks, by an
+upper bound of the common shingles that counts in HISTOGRAM cells give; only pairs that this bound can't rule out are aligned. So no
+link between texts of a bucket is lost, and one large class costs a row for each member.
 
 Defined cases. Null or empty text, or one without words: a class of its own. Fewer than five words: the whole text is the one
 shingle, so only equal texts meet. Null doc_id: gets its class's id, the least doc_id in it (null if there is none). Repeated
@@ -31,10 +31,11 @@ from .common import staged
 from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, LENGTH, SEED = 24, 5, 97
-PIVOT_ROUNDS = 4
+BANDS, LENGTH, SEED = 32, 6, 97
+PIVOT_ROUNDS = 2
 #: Members of one block when the rest of a bucket is tried in full.
-BLOCK = 128
+BLOCK = 512
+HISTOGRAM = 256
 
 
 def node_of(h: np.ndarray) -> bytes:
@@ -115,7 +116,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node and its shingles (32 bits each), read from the document that owns the node."""
+    """node, its shingles (32 bits each) and their histogram, read from the document that owns the node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,11 +125,13 @@ def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
                 x = as_bytes(text)
                 h = word_hashes(x, *word_bounds(x))
                 if node_of(h) == node:  # a repeated doc_id may have other texts
-                    rows.append((node, shingles(h).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "s"])
+                    v = shingles(h).astype(np.uint32)
+                    cells = np.minimum(np.bincount(v & (HISTOGRAM - 1), minlength=HISTOGRAM), 65_535)
+                    rows.append((node, v.tobytes(), cells.astype(np.uint16).tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "s", "h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(owners, F.col("_id").eqNullSafe(F.col("owner")))
-    return texts.select("node", "text").mapInPandas(run, "node binary, s binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInPandas(run, "node binary, s binary, h binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, s: DataFrame) -> DataFrame:
@@ -168,27 +171,36 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return m.join(apart, ["band", "key"])
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """All pairs of classes' members left in a bucket, tried by pairs of blocks; pairs come out once."""
-    order = F.xxhash64("node")
+def plausible(h: np.ndarray) -> np.ndarray:
+    """Pairs (i > j) of histogram rows whose common cells would allow the similarity; no similar pair is left out."""
+    n = h.sum(axis=1, dtype=np.int64)
+    out = []
+    for at in range(0, len(h), 16):
+        common = np.minimum(h[at : at + 16, None, :], h[None, : at + 16, :]).sum(axis=2, dtype=np.int64)
+        least = SIMILARITY / (1 + SIMILARITY) * (n[at : at + 16, None] + n[None, : at + 16]) - 1e-9
+        i, j = np.nonzero(common >= least)
+        out.append(np.stack([i + at, j], axis=1)[i + at > j])
+    return np.concatenate(out)
+
+
+def _blocks(members: DataFrame, s: DataFrame) -> DataFrame:
+    """The plausible pairs of different classes in each bucket, found in pairs of blocks."""
     size = members.groupBy("band", "key").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    m = members.join(size, ["band", "key"]).withColumn("_own", F.pmod(order, F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    m = m.withColumn("_other", other).withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    m = members.join(size, ["band", "key"]).join(s.select("node", "h"), "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    m = m.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         node, label, own = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["_own"].to_numpy()
-        out = []
-        for i in range(len(node)):
-            for j in range(i):
-                if label[i] != label[j] and (own[i] != own[j] or pdf["_lo"].iat[0] == pdf["_hi"].iat[0]):
-                    out.append((max(node[i], node[j]), min(node[i], node[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+        ij = plausible(np.stack([np.frombuffer(x, np.uint16) for x in pdf["h"]]))
+        across = pdf["_lo"].iat[0] != pdf["_hi"].iat[0]
+        rows = [(max(node[i], node[j]), min(node[i], node[j])) for i, j in ij.tolist() if label[i] != label[j] and not (across and own[i] == own[j])]
+        return pd.DataFrame(rows, columns=["a", "b"])
 
     return m.groupBy("band", "key", "_lo", "_hi").applyInPandas(pair, "a binary, b binary").distinct()
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None, turn: int, tried: DataFrame | None) -> DataFrame:
+def _candidates(members: DataFrame, s: DataFrame, labels: DataFrame | None, turn: int, tried: DataFrame | None) -> DataFrame:
     left = _labelled(members, labels)
     if turn < PIVOT_ROUNDS:
         rank = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
@@ -197,7 +209,7 @@ def _candidates(members: DataFrame, labels: DataFrame | None, turn: int, tried:
         met = left.join(pivot, ["band", "key"]).filter("label != pl")
         pairs = met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
     else:
-        pairs = _blocks(left)
+        pairs = _blocks(left, s)
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
@@ -212,7 +224,7 @@ def classes(docs: DataFrame) -> DataFrame:
     s = staged(_shingled(docs, owners.join(within, "node")))
     links = labels = tried = None
     for turn in range(PIVOT_ROUNDS + 1):
-        pairs = staged(_candidates(members, labels, turn, tried))
+        pairs = staged(_candidates(members, s, labels, turn, tried))
         if not pairs.limit(1).count():
             continue
         found = staged(_verified(pairs, s))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, packing, quality, rules, tokenbin
+from . import chat, langid, mixing, neardup, packing, quality, rules, tokenbin
 
 QUERIES = {
     "op1_preference_format": chat.query,
     "op3_ecoc_language": langid.query,
+    "op4_order_minhash": neardup.query,
     "op5_best_fit_pack": packing.query,
     "op6_weighted_fair_mix": mixing.query,
     "op7_subword_quality": quality.query,
