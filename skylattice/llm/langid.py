@@ -24,6 +24,8 @@ from .common import held_out
 
 #: Most documents of a language that the classifiers learn from, and the number of hashed n-gram features.
 SAMPLE_DOCS, FEATURES = 400, 4096
+#: Most documents learnt from in all; so many ids are sent to every executor.
+MOST_DOCS = 25_600
 AMBIGUOUS = 0.6
 _letters: list[np.ndarray] = []
 
@@ -117,8 +119,8 @@ def train(docs: DataFrame) -> Model | None:
     """From the SAMPLE_DOCS documents of each language, outside the held-out fold, whose hashed ids come first."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    sample = known.select("doc_id", "lang", "text").join(chosen, "doc_id")
+    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct().limit(MOST_DOCS)
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
