@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, neardup, packing, quality, rules, tokenbin
+from . import ann, chat, langid, mixing, neardup, packing, pii, quality, rules, tokenbin
 
 QUERIES = {
     "op1_preference_format": chat.query,
+    "op2_bilstm_crf_pii": pii.query,
     "op3_ecoc_language": langid.query,
     "op4_order_minhash": neardup.query,
     "op5_best_fit_pack": packing.query,
     "op6_weighted_fair_mix": mixing.query,
     "op7_subword_quality": quality.query,
     "op8_huffman_tokens": tokenbin.query,
+    "op9_adaptive_scan": ann.query,
     "op10_divergence_rules": rules.query,
 }
 ORACLES = {
