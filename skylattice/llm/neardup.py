@@ -6,10 +6,10 @@ share these shingles in the same order. Candidates are verified by a banded alig
 labelled shingles, within the band that the threshold leaves, must make L / (a + b - L) at least 0.8. Classes are the connected
 components of the verified links.
 
-A bucket is never expanded into all its pairs at once. Its members meet one pivot; then members that are still apart from the
-bucket's other members meet further pivots. After PIVOT_ROUNDS, all pairs of what is still apart in a bucket are compared in blocks, by an
-upper bound of the common shingles that counts in HISTOGRAM cells give; only pairs that this bound can't rule out are aligned. So no
-link between texts of a bucket is lost, and one large class costs a row for each member.
+A bucket is never expanded into all its pairs as rows. First its members meet one pivot. What is then still apart in a bucket is
+compared in full, in pairs of blocks, inside tasks: a bound on common shingles, from the cells of a bitmap that they fill, rules out
+most pairs, the others are aligned unless they have come together meanwhile, and only links that join two classes leave the task.
+So no link between texts of a bucket is lost, and one large class costs a row for each member.
 
 Defined cases. Null or empty text, or one without words: a class of its own. Fewer than five words: the whole text is the one
 shingle, so only equal texts meet. Null doc_id: gets its class's id, the least doc_id in it (null if there is none). Repeated
@@ -32,10 +32,8 @@ from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, LENGTH, SEED = 32, 6, 97
-PIVOT_ROUNDS = 2
-#: Members of one block when the rest of a bucket is tried in full.
-BLOCK = 512
-HISTOGRAM = 256
+#: Members of one block when the rest of a bucket is compared in full, and cells of a bitmap.
+BLOCK, CELLS = 256, 1024
 
 
 def node_of(h: np.ndarray) -> bytes:
@@ -116,7 +114,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node, its shingles (32 bits each) and their histogram, read from the document that owns the node."""
+    """node and its shingles (32 bits each), read from the document that owns the node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,13 +123,11 @@ def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
                 x = as_bytes(text)
                 h = word_hashes(x, *word_bounds(x))
                 if node_of(h) == node:  # a repeated doc_id may have other texts
-                    v = shingles(h).astype(np.uint32)
-                    cells = np.minimum(np.bincount(v & (HISTOGRAM - 1), minlength=HISTOGRAM), 65_535)
-                    rows.append((node, v.tobytes(), cells.astype(np.uint16).tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "s", "h"])
+                    rows.append((node, shingles(h).astype(np.uint32).tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(owners, F.col("_id").eqNullSafe(F.col("owner")))
-    return texts.select("node", "text").mapInPandas(run, "node binary, s binary, h binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInPandas(run, "node binary, s binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, s: DataFrame) -> DataFrame:
@@ -146,71 +142,75 @@ def _verified(pairs: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label, the least node of its component, for all nodes of links (a, b). Each round every node takes the
-    least label around it, then its label's label."""
-    edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    """node and label, the least node of its component, for all nodes of links (a, b) that aren't themselves the least.
+    Each round hangs every node under its least smaller neighbour, follows the trees to their roots and contracts the links to
+    links between roots."""
+    pair = lambda x, y: links_of.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a != b").distinct()
+    links_of, total = links, None
     while True:
-        labels = staged(labels)
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        once = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        twice = staged(once.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
-        changed = twice.filter("label != was").limit(1).count()
-        labels = twice.select("node", "label")
-        if not changed:
-            return labels
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold several classes."""
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = m.groupBy("band", "key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y").select("band", "key")
-    return m.join(apart, ["band", "key"])
-
-
-def plausible(h: np.ndarray) -> np.ndarray:
-    """Pairs (i > j) of histogram rows whose common cells would allow the similarity; no similar pair is left out."""
-    n = h.sum(axis=1, dtype=np.int64)
-    out = []
-    for at in range(0, len(h), 16):
-        common = np.minimum(h[at : at + 16, None, :], h[None, : at + 16, :]).sum(axis=2, dtype=np.int64)
-        least = SIMILARITY / (1 + SIMILARITY) * (n[at : at + 16, None] + n[None, : at + 16]) - 1e-9
-        i, j = np.nonzero(common >= least)
-        out.append(np.stack([i + at, j], axis=1)[i + at > j])
-    return np.concatenate(out)
-
-
-def _blocks(members: DataFrame, s: DataFrame) -> DataFrame:
-    """The plausible pairs of different classes in each bucket, found in pairs of blocks."""
+        edges = staged(pair(F.col("a"), F.col("b")))
+        if not edges.limit(1).count():
+            return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        up = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+        moved = 1
+        while moved:
+            up = staged(up)
+            over = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            up = staged(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")))
+            moved = up.filter("moved").limit(1).count()
+            up = up.select("node", "label")
+        root = lambda df, c, new: df.join(up.select(F.col("node").alias(c), F.col("label").alias(new)), c, "left")  # noqa: E731, B023
+        links_of = root(root(edges, "a", "_ra"), "b", "_rb").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+        total = up if total is None else staged(root(total, "label", "_r").select("node", F.coalesce("_r", "label").alias("label")).union(up))
+
+
+def plausible(s: list[np.ndarray]) -> np.ndarray:
+    """Pairs (i > j) that may reach the similarity. Common shingles are at most a's shingles less the cells that a fills
+    and b doesn't, so no similar pair is left out."""
+    n = np.array([len(x) for x in s], np.float64)
+    bits = np.zeros((len(s), CELLS), np.float32)
+    for i, x in enumerate(s):
+        bits[i, x & np.uint32(CELLS - 1)] = 1
+    common, filled = bits @ bits.T, bits.sum(axis=1)
+    most = np.minimum((n - filled)[:, None], (n - filled)[None, :]) + common
+    least = SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-6
+    ok = (most >= least) & (np.minimum(n[:, None], n[None, :]) >= least)
+    i, j = np.nonzero(np.tril(ok, -1))
+    return np.stack([i, j], axis=1)
+
+
+def _compared(members: DataFrame, s: DataFrame) -> DataFrame:
+    """Links between classes (a, b: labels) that full comparison of the members of each bucket finds."""
+    spark = members.sparkSession
     size = members.groupBy("band", "key").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    m = members.join(size, ["band", "key"]).join(s.select("node", "h"), "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    m = members.join(size, ["band", "key"]).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     m = m.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, label, own = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["_own"].to_numpy()
-        ij = plausible(np.stack([np.frombuffer(x, np.uint16) for x in pdf["h"]]))
-        across = pdf["_lo"].iat[0] != pdf["_hi"].iat[0]
-        rows = [(max(node[i], node[j]), min(node[i], node[j])) for i, j in ij.tolist() if label[i] != label[j] and not (across and own[i] == own[j])]
-        return pd.DataFrame(rows, columns=["a", "b"])
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, found = pdf["_own"].to_numpy(), []
+        s = [np.frombuffer(x, np.uint32) for x in pdf["s"]]
+        under = {v: v for v in pdf["label"]}
 
-    return m.groupBy("band", "key", "_lo", "_hi").applyInPandas(pair, "a binary, b binary").distinct()
+        def root(v: bytes) -> bytes:
+            while under[v] != v:
+                under[v] = v = under[under[v]]
+            return v
 
+        label, across = pdf["label"].tolist(), pdf["_lo"].iat[0] != pdf["_hi"].iat[0]
+        for i, j in plausible(s).tolist():
+            if across and own[i] == own[j]:
+                continue
+            x, y = root(label[i]), root(label[j])
+            if x != y and aligned(s[i], s[j]):
+                found.append((max(x, y), min(x, y)))
+                under[max(x, y)] = min(x, y)
+        return pd.DataFrame(found, columns=["a", "b"])
 
-def _candidates(members: DataFrame, s: DataFrame, labels: DataFrame | None, turn: int, tried: DataFrame | None) -> DataFrame:
-    left = _labelled(members, labels)
-    if turn < PIVOT_ROUNDS:
-        rank = F.xxhash64("node", F.lit(turn)) if turn else F.lit(0).cast("long")
-        by = F.struct(rank.alias("rank"), F.col("node"), F.col("label"))
-        pivot = left.groupBy("band", "key").agg(F.min(by).alias("_p")).select("band", "key", F.col("_p.node").alias("p"), F.col("_p.label").alias("pl"))
-        met = left.join(pivot, ["band", "key"]).filter("label != pl")
-        pairs = met.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
-    else:
-        pairs = _blocks(left, s)
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    keys = ["band", "key", "_lo", "_hi"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = m.join(s, "node").repartition(parts, *keys)  # small rows, long work: not to be put together to few tasks
+    return dealt.groupBy(*keys).applyInPandas(compare, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -222,18 +222,14 @@ def classes(docs: DataFrame) -> DataFrame:
     members = staged(bands.join(shared, ["band", "key"]).distinct())
     within = members.select("node").distinct()
     s = staged(_shingled(docs, owners.join(within, "node")))
-    links = labels = tried = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        pairs = staged(_candidates(members, s, labels, turn, tried))
-        if not pairs.limit(1).count():
-            continue
-        found = staged(_verified(pairs, s))
-        tried = pairs if tried is None else tried.union(pairs)
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-    if labels is None:
-        labels = members.select("node", F.col("node").alias("label")).limit(0)
+    pivot = members.groupBy("band", "key").agg(F.min("node").alias("b"))
+    pairs = members.join(pivot, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    first = components(_verified(pairs, s))
+    left = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = left.groupBy("band", "key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_m")).filter("_x != _y AND _m > 2").select("band", "key")
+    second = components(_compared(left.join(apart, ["band", "key"]), s)).select(F.col("node").alias("label"), F.col("label").alias("_top"))
+    labels = members.select("node").distinct().join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = labels.join(second, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
     nodes = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = nodes.groupBy("label").agg(F.min("owner").alias("class_id"))
     nodes = nodes.join(least, "label").select("node", "class_id")
