@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -372,13 +373,6 @@ def train(docs: DataFrame) -> Network:
     return Network.new().fit(np.concatenate([x, *read("x")]), np.concatenate([y, *read("y")]).astype(np.int64))
 
 
-def _batches(pdf: pd.DataFrame, net: Network) -> Iterator[tuple[pd.DataFrame, list[str], list[tuple[list[Span], list[Span]]]]]:
-    for at in range(0, len(pdf), 1024):
-        some = pdf.iloc[at : at + 1024]
-        texts = ["" if t is None else t for t in some["text"]]
-        yield some, texts, find(net, texts)
-
-
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -387,7 +381,9 @@ def search(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for some, _, found in _batches(pdf, net):
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                found = find(net, ["" if t is None else t for t in some["text"]])
                 rows = [(*(sum(k == kind for k, _, _ in base) for kind in range(4)), hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)) for base, more in found]
                 out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
                 out.insert(0, "doc_id", some["doc_id"].astype("Int64").to_numpy())
@@ -409,15 +405,16 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, net: Network) -> DataFrame:
     """docs with all spans replaced in text, and n_chars, where there is such a column, set to the new length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for some, texts, found in _batches(pdf, net):
-                new = [None if was is None else redacted(t, base + more) for was, t, (base, more) in zip(some["text"], texts, found, strict=True)]
-                out = some.copy()
-                out["text"] = new
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            was = batch.column(at).to_pylist()
+            texts = ["" if t is None else t for t in was]
+            found = [x for i in range(0, len(texts), 1024) for x in find(net, texts[i : i + 1024])]
+            new = [None if w is None else redacted(w, base + more) for w, (base, more) in zip(was, found, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

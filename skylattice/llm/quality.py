@@ -17,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out
 from .hashing import IS_SPACE, P, as_bytes, mixed, word_bounds, word_hashes
@@ -107,23 +109,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(read("rows"), read("counts"), got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, then score."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs and the score of its text, as a column of that name."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = pdf.pop("_text")
-            yield pdf.assign(_score=[model.score(t) for t in text])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([model.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    return out.mapInPandas(run, StructType([*out.schema.fields[:-1], StructField("_score", DoubleType())])).withColumnRenamed("_score", "score")
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that the classifier, learnt from labels, rejects."""
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name).filter(F.col(name) >= THRESHOLD).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    out = score(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    out = score(docs.select(F.col("doc_id").cast("long"), "text"), train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
