@@ -1 +1 @@
-"""See the package docstring."""
+"""Scalar functions as column builders."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Relational operators as DataFrame transformations, and the numerical kernels they call."""
