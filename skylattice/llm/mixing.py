@@ -21,6 +21,8 @@ MOST = 3
 #: Documents in one bucket of the running sums, on average.
 BUCKET_ROWS = 8192
 BINS = 4096
+#: So many sources at most are sent to all executors, a hundred bytes each; more are joined by a shuffle.
+FEW_SOURCES = 20_000
 
 
 def shuffle_key(doc_id: Column, seed: int) -> Column:
@@ -56,7 +58,9 @@ def _queued(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("_key"), *row)
     if not carry:
         x = staged(x)  # words are counted once
-    s = source_targets(x.select("source", "size")).withColumnRenamed("source", "_of")
+    s = staged(source_targets(x.select("source", "size")).withColumnRenamed("source", "_of"))
+    if s.count() <= FEW_SOURCES:
+        s = F.broadcast(s)
     x = x.join(s, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     parts = F.ceil(F.col("n_docs") / BUCKET_ROWS).cast("long")
     x = x.withColumn("_b", F.shiftright(F.shiftright("_key", 30) * parts, 30))
