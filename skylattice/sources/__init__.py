@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers and writers of the domain's files."""
