@@ -1 +1,303 @@
-"""Queries."""
+"""Queries over the numerical kernels (orbits, positions, ambiguities, messages), run in grouped or batched pandas.
+
+Where a kernel must recover a known truth, the oracle is that truth."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..kernels import ambiguity, delaunay, orbits, positioning, relative, rtcm
+from .joins import _single
+from .registry import register
+from .surrogate import OBS, STA, obs, sta, table
+from ..operators import observations as ob
+from .joins import DD
+
+
+def _sky(rr: np.ndarray, t: float, mask: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Visible satellites of the synthetic constellation: numbers, positions, elevations."""
+    sat = positioning.constellation(t)
+    el = positioning.elevation(sat, rr)
+    seen = np.flatnonzero(el > mask)
+    return seen, sat[seen], el[seen]
+
+
+@register("i01_single_point", f"WITH {STA} SELECT id, CAST(t AS BIGINT) AS t, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM sta, (SELECT unnest([0, 1800, 3600]) AS t)")
+def single_point(spark, sf_dir) -> DataFrame:
+    """Stations recovered from synthetic ranges with a clock offset."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.itertuples():
+            rr = np.array([r.x, r.y, r.z])
+            for t in (0, 1800, 3600):
+                _, sat, el = _sky(rr, t)
+                p = positioning.ranges(sat, rr)[0] + 100.0 + r.id
+                s = positioning.single_point(p, sat, np.zeros(len(p)), np.zeros(len(p), int), 1 / np.sin(el) ** 2)
+                if s.ok:
+                    rows.append((r.id, t, *np.round(s.position, 2)))
+        return pd.DataFrame(rows, columns=["id", "t", "x", "y", "z"])
+
+    return sta(spark, sf_dir).select("id", "x", "y", "z").withColumn("_part", F.col("id") % 64).groupBy("_part").applyInPandas(lambda pdf: solve(pdf.drop(columns="_part")), "id long, t long, x double, y double, z double")
+
+
+@register("i02_fault_exclusion", f"WITH {STA} SELECT id, id % 6 AS fault FROM sta")
+def fault_exclusion(spark, sf_dir) -> DataFrame:
+    """The satellite with a false range is the one left out."""
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                rr = np.array([r.x, r.y, r.z])
+                _, sat, _ = _sky(rr, 600)
+                p = positioning.ranges(sat, rr)[0]
+                p[r.id % 6] += 3000.0
+                found = positioning.leave_one_out(p, sat, np.zeros(len(p)), np.zeros(len(p), int), np.ones(len(p)))
+                rows.append((r.id, found[0] if found else -1))
+            yield pd.DataFrame(rows, columns=["id", "fault"])
+
+    return sta(spark, sf_dir).select("id", "x", "y", "z").mapInPandas(solve, "id long, fault long")
+
+
+@register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 3) AS ve, round((id % 7) * -1.25e0, 3) AS vn FROM sta")
+def doppler_velocity(spark, sf_dir) -> DataFrame:
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                rr, lat, lon = np.array([r.x, r.y, r.z]), np.radians(r.lat), np.radians(r.lon)
+                east, north = np.array([-np.sin(lon), np.cos(lon), 0]), np.array([-np.sin(lat) * np.cos(lon), -np.sin(lat) * np.sin(lon), np.cos(lat)])
+                v = east * (r.id % 20) * 0.5 + north * (r.id % 7) * -1.25
+                seen, sat, _ = _sky(rr, 600)
+                vs = (positioning.constellation(600.5) - positioning.constellation(599.5))[seen]
+                rate = (positioning.ranges(sat + vs * 5e-4, rr + v * 5e-4)[0] - positioning.ranges(sat - vs * 5e-4, rr - v * 5e-4)[0]) / 1e-3
+                got, _ = positioning.velocity(rate, sat, vs, rr)
+                rows.append((r.id, round(float(got @ east), 3) + 0.0, round(float(got @ north), 3) + 0.0))
+            yield pd.DataFrame(rows, columns=["id", "ve", "vn"])
+
+    return sta(spark, sf_dir).select("id", "lat", "lon", "x", "y", "z").mapInPandas(solve, "id long, ve double, vn double")
+
+
+@register("e02_integer_search", "SELECT c_custkey AS id, c_custkey % 11 - 5 AS n0, c_custkey % 7 - 3 AS n1, c_custkey % 13 - 6 AS n2, c_custkey % 5 AS n3 FROM customer")
+def integer_search(spark, sf_dir) -> DataFrame:
+    """Correlated float ambiguities near known integers."""
+    lower = np.array([[1, 0, 0, 0], [0.9, 1, 0, 0], [0.8, 0.7, 1, 0], [0.9, 0.6, 0.8, 1]])
+    q = lower @ np.diag([0.4, 0.01, 0.008, 0.006]) @ lower.T
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for i in pdf["id"]:
+                n = np.array([i % 11 - 5, i % 7 - 3, i % 13 - 6, i % 5], float)
+                noise = np.random.default_rng(int(i)).uniform(-0.2, 0.2, 4)
+                best, _ = ambiguity.resolve(n + np.linalg.cholesky(q) @ noise, q)
+                rows.append((i, *best[0].astype(int)))
+            yield pd.DataFrame(rows, columns=["id", "n0", "n1", "n2", "n3"])
+
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).mapInPandas(solve, "id long, n0 long, n1 long, n2 long, n3 long")
+
+
+@register("i04_relative_position", f"WITH {STA} SELECT id, 200 + id % 37 AS dx, -100 - id % 23 AS dy, id % 11 AS dz, 'fixed' AS status FROM sta")
+def relative_position(spark, sf_dir) -> DataFrame:
+    """Base lines of whole metres recovered by the filter from noisy ranges and phases with unknown integers; one task a base line."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.itertuples():
+            base = np.array([r.x, r.y, r.z])
+            d = np.array([200 + r.id % 37, -100 - r.id % 23, r.id % 11], float)
+            rng, wave = np.random.default_rng(int(r.id)), 0.190293672798365
+            n, f, status = rng.integers(-90, 90, 64), relative.Filter(base, wave, base + d + 3), "none"
+            for t in range(0, 300, 30):
+                seen, sat, el = _sky(base, t)
+                ru, rb = positioning.ranges(sat, base + d)[0] + 20, positioning.ranges(sat, base)[0]
+                e = rng.normal(0, 1, (4, len(seen)))
+                status = f.epoch(seen, sat, el, (ru + 0.2 * e[0], rb + 0.2 * e[1]), ((ru + 0.002 * e[2]) / wave + n[seen], (rb + 0.002 * e[3]) / wave), np.zeros(len(seen), bool))
+            got = (f.fixed if f.fixed is not None else f.position) - base
+            rows.append((r.id, *np.round(got).astype(int), status))
+        return pd.DataFrame(rows, columns=["id", "dx", "dy", "dz", "status"])
+
+    return sta(spark, sf_dir).select("id", "x", "y", "z").groupBy((F.col("id") % 64).alias("_part")).applyInPandas(solve, "id long, dx long, dy long, dz long, status string")
+
+
+@register("i06_wide_lane_rounding", "WITH w AS (SELECT user_id, event_type, avg(value) AS mw, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, CAST(round(mw * 0.190293672798365) AS BIGINT) AS wl, n >= 10 AND abs(mw * 0.190293672798365 - round(mw * 0.190293672798365)) < 0.129 AS fixed FROM w")
+def wide_lane_rounding(spark, sf_dir) -> DataFrame:
+    g = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mw"), F.count("*").alias("n"))
+    w = F.col("mw") * 0.190293672798365
+    return g.select("user_id", "event_type", F.round(w).cast("long").alias("wl"), ((F.col("n") >= 10) & (F.abs(w - F.round(w)) < 0.129)).alias("fixed"))
+
+
+@register("i08_smoothed", "WITH s AS (SELECT user_id, avg(value) FILTER (event_id % 2 = 0) AS f, count(*) FILTER (event_id % 2 = 0) AS nf, avg(value) FILTER (event_id % 2 = 1) AS b, count(*) FILTER (event_id % 2 = 1) AS nb FROM events GROUP BY 1) SELECT user_id, round((f * nf + b * nb) / (nf + nb) * 0.190293672798365, 6) AS x FROM s WHERE nf > 0 AND nb > 0")
+def smoothed(spark, sf_dir) -> DataFrame:
+    """Forward and backward estimates (here of halves of a series) weighed by their inverse variances."""
+    half = lambda k: F.when(F.col("event_id") % 2 == k, F.col("value"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(half(0)).alias("f"), F.count(half(0)).alias("nf"), F.avg(half(1)).alias("b"), F.count(half(1)).alias("nb")).filter("nf > 0 AND nb > 0")
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                x, _ = relative.smooth((np.array([r.f]), np.array([[1 / r.nf]])), (np.array([r.b]), np.array([[1 / r.nb]])))
+                rows.append((r.user_id, float(x[0])))
+            yield pd.DataFrame(rows, columns=["user_id", "x"])
+
+    return g.mapInPandas(solve, "user_id long, x double").select("user_id", F.round(F.col("x") * 0.190293672798365, 6).alias("x"))
+
+
+VRS_ROWS = f"{DD}, rows AS (SELECT epoch, sat, rover, ddl, (rover * 37 % 11) - 5e0 AS e, (rover * 73 % 13) - 6e0 AS n, (rover * 19 % 5) - 2e0 AS u FROM dd)"
+_N = {"00": "e*e", "01": "e*n", "02": "e*u", "11": "n*n", "12": "n*u", "22": "u*u"}
+
+
+@register("i09_virtual_correction", f"""WITH {VRS_ROWS}, m AS (SELECT epoch, sat, count(*) AS k, {", ".join(f"sum({v}) AS m{c}" for c, v in _N.items())}, sum(e*ddl) AS b0, sum(n*ddl) AS b1, sum(u*ddl) AS b2 FROM rows GROUP BY 1, 2 HAVING count(*) >= 2),
+p AS (SELECT * EXCLUDE (m22), m22 + CASE WHEN k = 2 THEN 1e6 ELSE 0 END AS m22 FROM m), d AS (SELECT *, m00*(m11*m22-m12*m12) - m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02) AS det FROM p)
+SELECT epoch, sat, k, round((b0*(m11*m22-m12*m12) - m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det * 2e0 + (m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + m02*(m01*b2-b1*m02)) / det * 3e0, 5) AS correction FROM d WHERE abs(det) > 1e-3""")
+def virtual_correction(spark, sf_dir) -> DataFrame:
+    """Plane through the signed residuals of a triangle's base lines, at a point 2 east and 3 north; with two base lines the upward
+    part is held at zero."""
+    d = ob.double_differences(_single(spark, sf_dir)).select("epoch", "sat", "ddl", ((F.col("rover") * 37 % 11) - 5e0).alias("e"), ((F.col("rover") * 73 % 13) - 6e0).alias("n"), ((F.col("rover") * 19 % 5) - 2e0).alias("u"))
+    sums = [F.expr(f"sum({v})").alias(f"m{c}") for c, v in _N.items()] + [F.expr(f"sum({v} * ddl)").alias(f"b{i}") for i, v in enumerate("enu")]
+    m = d.groupBy("epoch", "sat").agg(F.count("*").alias("k"), *sums).filter("k >= 2").withColumn("m22", F.col("m22") + F.when(F.col("k") == 2, 1e6).otherwise(0.0))
+    m = m.withColumn("det", F.expr("m00*(m11*m22-m12*m12) - m01*(m01*m22-m12*m02) + m02*(m01*m12-m11*m02)")).filter("abs(det) > 1e-3")
+    east, north = F.expr("(b0*(m11*m22-m12*m12) - m01*(b1*m22-m12*b2) + m02*(b1*m12-m11*b2)) / det"), F.expr("(m00*(b1*m22-m12*b2) - b0*(m01*m22-m12*m02) + m02*(m01*b2-b1*m02)) / det")
+    return m.select("epoch", "sat", "k", F.round(east * 2e0 + north * 3e0, 5).alias("correction"))
+
+
+@register("f01_delaunay", """WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 300) / 100e0 + sin(s_suppkey) / 50 AS x, (s_suppkey * 73 % 400) / 100e0 + cos(s_suppkey * 3) / 50 AS y FROM supplier),
+t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id),
+d AS (SELECT *, 2 * (bx * cy - by_ * cx) AS d FROM t), u AS (SELECT *, (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / d AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / d AS uy FROM d WHERE abs(d) > 1e-12)
+SELECT a AS v0, b AS v1, c AS v2 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id NOT IN (u.a, u.b, u.c) AND (p.x - u.ax - u.ux) * (p.x - u.ax - u.ux) + (p.y - u.ay - u.uy) * (p.y - u.ay - u.uy) < (u.ux * u.ux + u.uy * u.uy) * (1 - 1e-12))""")
+def delaunay_network(spark, sf_dir) -> DataFrame:
+    """A network's stations are one group by nature (a triangulation is global); its table has a row a station."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        t = np.sort(ids[delaunay.triangulate(pdf[["x", "y"]].to_numpy())], axis=1)
+        return pd.DataFrame(t, columns=["v0", "v1", "v2"])
+
+    k = F.col("s_suppkey")
+    p = table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 37 % 300) / 100e0 + F.sin(k) / 50).alias("x"), ((k * 73 % 400) / 100e0 + F.cos(k * 3) / 50).alias("y"))
+    return p.groupBy(F.lit(0).alias("network")).applyInPandas(lambda pdf: build(pdf), "v0 long, v1 long, v2 long")
+
+
+@register("h02_frames", "SELECT user_id, count(*) AS n_frames, CAST(sum(octet_length(encode(props))) AS BIGINT) AS n_bytes FROM events GROUP BY user_id")
+def frames(spark, sf_dir) -> DataFrame:
+    """Each user's messages as one byte stream with noise between, cut into odd chunks and reassembled."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        stream = b"".join(rtcm.frame(p.encode()) + b"\x01\x02" * (i % 3) for p, i in zip(pdf["props"], pdf["event_id"], strict=True))
+        f, out = rtcm.Framer(), []
+        for at in range(0, len(stream), 37):
+            out += f.feed(stream[at : at + 37])
+        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "n_frames": [len(out)], "n_bytes": [sum(map(len, out))]})
+
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "props").groupBy("user_id").applyInPandas(run, "user_id long, n_frames long, n_bytes long")
+
+
+MS = rtcm.LIGHT_MS
+
+
+@register("h05_msm_round_trip", f"""WITH {OBS}, m AS (SELECT srcid, epoch, sat, (2.2e7 + p * 1e4) / {MS} AS ms FROM obs), r AS (SELECT *, round(ms * 1024) / 1024 AS rough FROM m)
+SELECT srcid, epoch, sat, round((rough + round((ms - rough) * 16777216) / 16777216) * {MS}, 4) AS p FROM r""")
+def msm_round_trip(spark, sf_dir) -> DataFrame:
+    """Ranges encoded into observation messages and decoded."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = [{"sat": int(s), "sig": 2, "p": 2.2e7 + p * 1e4, "l": 2.2e7 + p * 1e4, "snr": 40} for s, p in zip(pdf["sat"], pdf["p"], strict=True)]
+        body = rtcm.encode_msm("G", 4, int(pdf["srcid"].iloc[0]), int(pdf["epoch"].iloc[0]), cells)
+        f = rtcm.Framer()
+        got = rtcm.decode_msm(f.feed(rtcm.frame(body))[0])
+        return pd.DataFrame([(got["station"], got["epoch"], c["sat"], round(c["p"], 4)) for c in got["cells"]], columns=["srcid", "epoch", "sat", "p"])
+
+    return obs(spark, sf_dir).select("srcid", "epoch", "sat", "p").groupBy("srcid", "epoch").applyInPandas(run, "srcid long, epoch long, sat long, p double")
+
+
+@register("h06_station_message", f"WITH {STA} SELECT id, round(round(x / 1e-4) * 1e-4, 4) AS x, round(round(y / 1e-4) * 1e-4, 4) AS y, round(round(z / 1e-4) * 1e-4, 4) AS z FROM sta")
+def station_message(spark, sf_dir) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            got = [rtcm.decode(rtcm.encode_fields(1005, {"station": int(r.id) % 4096, "x": r.x, "y": r.y, "z": r.z})) for r in pdf.itertuples()]
+            yield pd.DataFrame({"id": pdf["id"], **{c: [round(g[c], 4) for g in got] for c in "xyz"}})
+
+    return sta(spark, sf_dir).select("id", "x", "y", "z").mapInPandas(run, "id long, x double, y double, z double")
+
+
+@register("h08_ssr_round_trip", "SELECT event_id, round(round(value / 99.3e0 / 1e-4) * 1e-4, 4) AS radial, round(round(-value / 49.7e0 / 4e-4) * 4e-4, 4) AS along FROM events")
+def ssr_round_trip(spark, sf_dir) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for at in range(0, len(pdf), 63):
+                some = pdf.iloc[at : at + 63]
+                zero = {"iode": 1, "cross": 0, "d_radial": 0, "d_along": 0, "d_cross": 0}
+                body = rtcm.encode_ssr(1057, 0, [zero | {"prn": 1 + i, "radial": v / 99.3, "along": -v / 49.7} for i, v in enumerate(some["value"])])
+                out += [(e, round(m["radial"], 4), round(m["along"], 4)) for e, m in zip(some["event_id"], rtcm.decode_ssr(body)["rows"], strict=True)]
+            yield pd.DataFrame(out, columns=["event_id", "radial", "along"])
+
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(run, "event_id long, radial double, along double")
+
+
+@register("h09_message_classes", """WITH m AS (SELECT p_partkey, CAST(1001 + p_partkey % 270 AS BIGINT) AS type FROM part) SELECT p_partkey, type, CAST(CASE WHEN type IN (1002, 1004, 1010, 1012) OR (type BETWEEN 1071 AND 1127 AND type % 10 BETWEEN 4 AND 7) THEN 1
+WHEN type IN (1019, 1020, 1041, 1042, 1044, 1045, 1046) THEN 2 WHEN type IN (1005, 1006, 1007, 1008, 1033) THEN 5 WHEN type IN (1057, 1058, 1060, 1063, 1064, 1066, 1240, 1241, 1243, 1258, 1259, 1261) THEN 10 ELSE 0 END AS BIGINT) AS class FROM m""")
+def message_classes(spark, sf_dir) -> DataFrame:
+    """Routing by the first twelve bits; what has no decoder is counted only."""
+    kind = F.col("p_partkey") % 270 + 1001
+    m = table(spark, sf_dir, "part").select("p_partkey", kind.alias("type"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{"class": [rtcm.return_class(int(k)) for k in pdf["type"]]})
+
+    return m.mapInPandas(run, "p_partkey long, type long, class long")
+
+
+@register("g18_glonass_orbit")
+def glonass_orbit(spark, sf_dir) -> DataFrame:
+    """Integrated fifteen minutes ahead and back: the start again."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                s = np.array([1.2e7 + r.id * 1e3, 2.0e7 - r.id * 1e3, 1.0e7, -1000.0, 500.0, 3000.0])
+                there = orbits.glonass_position(s, np.zeros(3), 900.0)
+                back = orbits.glonass_position(there, np.zeros(3), -900.0)
+                rows.append((r.id, *there[:3].round(3), bool(np.linalg.norm(back - s) < 1e-3)))
+            yield pd.DataFrame(rows, columns=["id", "x", "y", "z", "returns"])
+
+    return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, x double, y double, z double, returns boolean")
+
+
+@register("g20_precise_orbit", f"WITH {STA} SELECT id, true AS near FROM sta")
+def precise_orbit(spark, sf_dir) -> DataFrame:
+    """Interpolated nodes against the circular orbits they come from."""
+
+    def run(batches):
+        times = np.arange(0, 900.0 * 20, 900.0)
+        nodes = np.stack([positioning.constellation(t) for t in times])
+        for pdf in batches:
+            near = []
+            for i in pdf["id"]:
+                t, k = 5000.0 + 13.0 * (i % 400), int(i) % 30
+                got = orbits.precise_position(times, nodes[:, k], t)
+                near.append(got is not None and bool(np.linalg.norm(got - positioning.constellation(t)[k]) < 1e-3))
+            yield pd.DataFrame({"id": pdf["id"], "near": near})
+
+    return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, near boolean")
+
+
+@register("g21_solid_tide")
+def tide(spark, sf_dir) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                sun, moon = orbits.sun_moon(np.array([r.id * 3600.0]))
+                rows.append((r.id, *orbits.solid_tide(np.array([r.x, r.y, r.z]), sun[0], moon[0]).round(5)))
+            yield pd.DataFrame(rows, columns=["id", "dx", "dy", "dz"])
+
+    return sta(spark, sf_dir).select("id", "x", "y", "z").mapInPandas(run, "id long, dx double, dy double, dz double")

@@ -1,4 +1,4 @@
-"""Name -> query and name -> equivalent SQL, gathered from the modules of this package."""
+"""Name -> query and name -> equivalent SQL, filled by the modules of this package."""
 
 from __future__ import annotations
 
@@ -19,6 +19,3 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
-
-
-from . import aggregates, graph, joins, kernels, scalars, textio, views  # noqa: E402, F401
