@@ -63,7 +63,7 @@ def fault_exclusion(spark, sf_dir) -> DataFrame:
     return sta(spark, sf_dir).select("id", "x", "y", "z").mapInPandas(solve, "id long, fault long")
 
 
-@register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 3) AS ve, round((id % 7) * -1.25e0, 3) AS vn FROM sta")
+@register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 2) AS ve, round((id % 7) * -1.25e0, 2) AS vn FROM sta")
 def doppler_velocity(spark, sf_dir) -> DataFrame:
     def solve(batches):
         for pdf in batches:
@@ -76,7 +76,7 @@ def doppler_velocity(spark, sf_dir) -> DataFrame:
                 vs = (positioning.constellation(600.5) - positioning.constellation(599.5))[seen]
                 rate = (positioning.ranges(sat + vs * 5e-4, rr + v * 5e-4)[0] - positioning.ranges(sat - vs * 5e-4, rr - v * 5e-4)[0]) / 1e-3
                 got, _ = positioning.velocity(rate, sat, vs, rr)
-                rows.append((r.id, round(float(got @ east), 3) + 0.0, round(float(got @ north), 3) + 0.0))
+                rows.append((r.id, round(float(got @ east), 2) + 0.0, round(float(got @ north), 2) + 0.0))
             yield pd.DataFrame(rows, columns=["id", "ve", "vn"])
 
     return sta(spark, sf_dir).select("id", "lat", "lon", "x", "y", "z").mapInPandas(solve, "id long, ve double, vn double")

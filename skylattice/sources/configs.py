@@ -28,7 +28,7 @@ def options(lines: DataFrame, line: str) -> DataFrame:
 
 def parse(lines: DataFrame, line: str, kind: str, order: str) -> DataFrame:
     """Rows of a control table; short lines go, and of equal first fields the first line stays. Passwords are not among the columns."""
-    fields = F.transform(F.split(F.regexp_replace(line, "#.*", ""), ","), F.trim)
+    fields = F.transform(F.split(F.regexp_replace(line, "#.*", ""), ","), lambda v: F.trim(v))
     names = TABLES[kind]
     x = lines.withColumn("_f", fields).filter(F.size("_f") >= LEAST[kind])
     get = lambda i, n: F.try_element_at("_f", F.lit(i + 1)).try_cast(NUMBERS.get(n, "string")).alias(n)
