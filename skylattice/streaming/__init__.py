@@ -1 +1 @@
-"""See the package docstring."""
+"""Stateful operators as Structured Streaming queries; each shares its kernel with the batch form."""
