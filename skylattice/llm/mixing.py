@@ -19,7 +19,7 @@ from .common import n_words, staged
 #: Most copies of a document, and so most of a source's target in its sizes.
 MOST = 3
 #: Documents in one bucket of the running sums, on average.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 BINS = 4096
 #: So many sources at most are sent to all executors, a hundred bytes each; more are joined by a shuffle.
 FEW_SOURCES = 20_000
