@@ -1,8 +1,9 @@
 """Nearest neighbours by largest inner product with an adaptive dimension scan.
 
-Vectors are rotated at random and kept in lists around centroids. A query probes every list whose centroid is almost as near
+Inner products become distances when each vector gets one more coordinate that brings all to the largest norm; lists are made around
+centroids of such vectors, and a query, scaled to that norm, has 0 there. A query probes every list whose centroid is almost as near
 as its nearest one (SLACK), PROBES at least: few in clustered data, most where vectors have no structure and a fixed number would lose
-neighbours. In a list, distances grow column block by column block; after each block a candidate is abandoned when its partial distance, scaled to all dimensions, is
+neighbours. In a list, vectors are rotated at random and distances grow column block by column block; after each block a candidate is abandoned when its partial distance, scaled to all dimensions, is
 so far above the distance that the query's k-th best inner product allows that chance hardly explains it. Inner products
 and distances are tied by the norms: |q - x|^2 = |q|^2 + |x|^2 - 2 q.x. Survivors are ranked by inner products of the original
 vectors in double precision.
@@ -103,7 +104,7 @@ def shards(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """v (doubles as bytes, null-free) and ids, the k + 1 least of its vec_id."""
+    """v (doubles as bytes, null-free), its length d and norm, and ids, the k + 1 least of its vec_id."""
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -112,13 +113,13 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
                 if v is not None and not pd.isna(i):
                     v = np.array([np.nan if z is None else z for z in v], np.float64) + 0.0  # no negative zeros
                     if len(v) and np.isfinite(v).all() and v.any():
-                        rows.append((int(i), len(v), v.tobytes()))
-            yield pd.DataFrame(rows, columns=["vec_id", "d", "v"])
+                        rows.append((int(i), len(v), float(np.sqrt(v @ v)), v.tobytes()))
+            yield pd.DataFrame(rows, columns=["vec_id", "d", "norm", "v"])
 
-    x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(clean, "vec_id long, d int, v binary")
+    x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(clean, "vec_id long, d int, norm double, v binary")
     least = Window.partitionBy("v").orderBy("vec_id")
     few = x.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1)
-    return few.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return few.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm"))
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PROBES) -> DataFrame:
@@ -131,16 +132,23 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
     d, n = size["d"], size["count"]
     x = x.filter(F.col("d") == d)
     lists = int(min(MOST_LISTS, max(1, round(n**0.5 / 2))))
+    top = float(x.agg(F.max("norm")).head()[0])
     sample = x.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE_ROWS).toPandas()  # SAMPLE_ROWS vectors at most
     turn = rotation(d)
-    centers = centroids(np.stack([np.frombuffer(b, np.float64) for b in sample["v"]]), min(lists, len(sample)))
+
+    def level(column: pd.Series) -> np.ndarray:
+        """Rows with the coordinate that makes their norm the largest one."""
+        v = np.stack([np.frombuffer(b, np.float64) for b in column])
+        return np.column_stack([v, np.sqrt(np.maximum(top**2 - (v**2).sum(axis=1), 0))])
+
+    centers = centroids(level(sample["v"]), min(lists, len(sample)))
     probes = min(probes, len(centers))
     half = (centers**2).sum(axis=1) / 2
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = np.stack([np.frombuffer(b, np.float64) for b in pdf["v"]]) if len(pdf) else np.empty((0, d))
-            yield pd.DataFrame({"list": (v @ centers.T - half).argmax(axis=1), "v": pdf["v"], "ids": pdf["ids"]})
+            if len(pdf):
+                yield pd.DataFrame({"list": (level(pdf["v"]) @ centers.T - half).argmax(axis=1), "v": pdf["v"], "ids": pdf["ids"]})
 
     listed = staged(x.select("v", "ids").mapInPandas(assign, "list int, v binary, ids array<long>"))
     place = shards({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()})  # at most MOST_LISTS rows
@@ -150,7 +158,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
             rows = []
             for b in pdf["v"]:
                 v = np.frombuffer(b, np.float64)
-                far = np.sqrt(np.maximum(v @ v + 2 * (half - centers @ v), 0))
+                v = v * (top / np.sqrt(v @ v))
+                far = np.sqrt(np.maximum(top**2 + 2 * (half - centers[:, :d] @ v), 0))
                 order = np.argsort(far, kind="stable")
                 n = max(probes, int((far <= far[order[0]] * (1 + SLACK)).sum()))
                 into: dict[int, list[int]] = {}
@@ -163,7 +172,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
 
     first, parts = (F.create_map(*[F.lit(y) for one, at in place.items() for y in (one, at[i])]) for i in (0, 1))
     listed = listed.withColumn("shard", first[F.col("list")] + F.pmod(F.xxhash64("v"), parts[F.col("list")]).cast("int"))
-    asked_ids = distinct_queries(vectors, every)
+    asked_ids = distinct_queries(vectors, every).filter(F.octet_length("v") == 8 * d)
     asked = staged(asked_ids.select("v").distinct().mapInPandas(probe, "shard int, v binary, lists array<int>"))
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
