@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Characters up to U+024F that both engines take for the same kind; the two languages' tables of white space differ on the others.
+_CLEAR = np.ones(0x250, bool)
+_CLEAR[[0x1C, 0x1D, 0x1E, 0x1F, 0x85]] = False
+
 
 def byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes take code points from 256 on."""
@@ -47,12 +50,18 @@ class ByteLevel:
         # The pattern of the byte-level pre-tokenizer (fixed value).
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("|".join(["[^\x00-ɏ]", "[\x1c-\x1f\x85]", *map(re.escape, special)]))
+        self.special = special
+
+    def _known(self, text: str) -> bool:
+        if any(t in text for t in self.special):
+            return False
+        x = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+        return x.max() < len(_CLEAR) and bool(_CLEAR[x].all())
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if self.ok and not self.odd.search(text):
+        if self.ok and self._known(text):
             return np.asarray(self.fast.encode_ordinary(text), "<u4")
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -93,20 +102,28 @@ class WordLevel:
                 owner.append(vocab[token])
         self.owner = np.array(owner, np.int64)
         self.fast = tiktoken.Encoding("word_level", pat_str="[^Ȁ-˿]*[Ȁ-˿]", mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("[^\x00-\xff]|'|<\\||[\x1c-\x1f\x85]")
         import regex
 
         latin = [chr(i) for i in range(256)]
         self.kind = np.array([0 if regex.match(r"\s", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in latin], np.uint8)
 
-    def _symbols(self, text: str) -> str:
-        x = np.frombuffer(text.lower().encode("latin-1"), np.uint8)
+    def _symbols(self, text: str) -> str | None:
+        """The text in the alphabet of the fast engine; None for texts that it isn't sure of."""
+        try:
+            raw = text.lower().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        x = np.frombuffer(raw, np.uint8)
+        if b"'" in raw or b"<|" in raw or not _CLEAR[x].all():
+            return None
         kind = self.kind[x]
         after = np.append(kind[1:], 0)
         last = (kind == 2) | (kind != after)
         keep = kind > 0
         x, last = x[keep].astype(np.uint16), last[keep]
         wide = x >= 128
+        if not wide.any():
+            return (x + last * np.uint16(0x200)).tobytes().decode("utf-16-le")
         at = np.cumsum(1 + wide) - 1  # of each character's last byte
         out = np.empty(len(x) + int(wide.sum()), "<u2")
         out[at] = np.where(wide, 0x80 | (x & 0x3F), x) + np.where(last, 0x200, np.where(wide, 0x100, 0))
@@ -116,8 +133,9 @@ class WordLevel:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if not self.odd.search(text):
-            return self.owner[np.asarray(self.fast.encode_ordinary(self._symbols(text)), np.int64)].astype("<u4")
+        symbols = self._symbols(text)
+        if symbols is not None:
+            return self.owner[np.asarray(self.fast.encode_ordinary(symbols), np.int64)].astype("<u4")
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
