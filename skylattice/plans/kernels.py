@@ -17,6 +17,11 @@ from ..operators import observations as ob
 from .joins import DD
 
 
+def _spread(df: DataFrame, *keys) -> DataFrame:
+    """Few rows with long work: dealt to all tasks, and not put together again by their small size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _sky(rr: np.ndarray, t: float, mask: float = 0.15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Visible satellites of the synthetic constellation: numbers, positions, elevations."""
     sat = positioning.constellation(t)
@@ -41,7 +46,7 @@ def single_point(spark, sf_dir) -> DataFrame:
                     rows.append((r.id, t, *np.round(s.position, 2)))
         return pd.DataFrame(rows, columns=["id", "t", "x", "y", "z"])
 
-    return sta(spark, sf_dir).select("id", "x", "y", "z").withColumn("_part", F.col("id") % 64).groupBy("_part").applyInPandas(lambda pdf: solve(pdf.drop(columns="_part")), "id long, t long, x double, y double, z double")
+    return _spread(sta(spark, sf_dir).select("id", "x", "y", "z").withColumn("_part", F.col("id") % 1024), "_part").groupBy("_part").applyInPandas(lambda pdf: solve(pdf.drop(columns="_part")), "id long, t long, x double, y double, z double")
 
 
 @register("i02_fault_exclusion", f"WITH {STA} SELECT id, id % 6 AS fault FROM sta")
@@ -60,7 +65,7 @@ def fault_exclusion(spark, sf_dir) -> DataFrame:
                 rows.append((r.id, found[0] if found else -1))
             yield pd.DataFrame(rows, columns=["id", "fault"])
 
-    return sta(spark, sf_dir).select("id", "x", "y", "z").mapInPandas(solve, "id long, fault long")
+    return _spread(sta(spark, sf_dir).select("id", "x", "y", "z"), "id").mapInPandas(solve, "id long, fault long")
 
 
 @register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 2) AS ve, round((id % 7) * -1.25e0, 2) AS vn FROM sta")
@@ -79,7 +84,7 @@ def doppler_velocity(spark, sf_dir) -> DataFrame:
                 rows.append((r.id, round(float(got @ east), 2) + 0.0, round(float(got @ north), 2) + 0.0))
             yield pd.DataFrame(rows, columns=["id", "ve", "vn"])
 
-    return sta(spark, sf_dir).select("id", "lat", "lon", "x", "y", "z").mapInPandas(solve, "id long, ve double, vn double")
+    return _spread(sta(spark, sf_dir).select("id", "lat", "lon", "x", "y", "z"), "id").mapInPandas(solve, "id long, ve double, vn double")
 
 
 @register("e02_integer_search", "SELECT c_custkey AS id, c_custkey % 11 - 5 AS n0, c_custkey % 7 - 3 AS n1, c_custkey % 13 - 6 AS n2, c_custkey % 5 AS n3 FROM customer")
@@ -121,7 +126,7 @@ def relative_position(spark, sf_dir) -> DataFrame:
             rows.append((r.id, *np.round(got).astype(int), status))
         return pd.DataFrame(rows, columns=["id", "dx", "dy", "dz", "status"])
 
-    return sta(spark, sf_dir).select("id", "x", "y", "z").groupBy((F.col("id") % 64).alias("_part")).applyInPandas(solve, "id long, dx long, dy long, dz long, status string")
+    return _spread(sta(spark, sf_dir).select("id", "x", "y", "z"), "id").groupBy("id").applyInPandas(solve, "id long, dx long, dy long, dz long, status string")
 
 
 @register("i06_wide_lane_rounding", "WITH w AS (SELECT user_id, event_type, avg(value) AS mw, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, CAST(round(mw * 0.190293672798365) AS BIGINT) AS wl, n >= 10 AND abs(mw * 0.190293672798365 - round(mw * 0.190293672798365)) < 0.129 AS fixed FROM w")
