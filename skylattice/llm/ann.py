@@ -116,7 +116,7 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
                         rows.append((int(i), len(v), float(np.sqrt(v @ v)), v.tobytes()))
             yield pd.DataFrame(rows, columns=["vec_id", "d", "norm", "v"])
 
-    x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(clean, "vec_id long, d int, norm double, v binary")
+    x = vectors.select(F.col("vec_id").cast("string"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(clean, "vec_id long, d int, norm double, v binary")
     least = Window.partitionBy("v").orderBy("vec_id")
     few = x.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1)
     return few.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm"))

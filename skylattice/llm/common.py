@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_document(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """docs' doc_id and text through run, whose result has doc_id first. Ids travel as text, since a batch that holds a null would
+    turn them into floating-point numbers."""
+    out = docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(run, schema.replace("doc_id long", "doc_id string", 1))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import by_document, held_out
 
 #: Most documents of a language that the classifiers learn from, and the number of hashed n-gram features.
 SAMPLE_DOCS, FEATURES = 400, 4096
@@ -147,9 +147,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 if some and model is not None:
                     best, s, a = model.predict(np.stack([found[i] for i in some]))
                     lang[some], score[some], unsure[some] = np.array(model.langs, object)[best], s, a
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": lang, "score": score, "ambiguous": unsure})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score, "ambiguous": unsure})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return by_document(docs, run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

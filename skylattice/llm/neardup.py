@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import by_document, staged
 from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -108,9 +108,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     h = word_hashes(x, *word_bounds(x))
                     nodes.append(node_of(h) if len(h) else None)
                     keys.append(sketch(shingles(h)).view(np.int64) if len(h) else None)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, node binary, keys array<long>")
+    return by_document(docs, run, "doc_id long, node binary, keys array<long>")
 
 
 def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:

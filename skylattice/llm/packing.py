@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import by_document, staged
 from .tokens import ByteLevel, encoder
 
 LIMIT, END_ID = 1024, 2
@@ -46,10 +46,9 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID)
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = np.append(coder.ids(text), np.array([end_id], "<u4")).astype("<u4")
                 rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(ids), limit))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return by_document(docs, cut, PIECES)
 
 
 def lower_bound(counts: np.ndarray, limit: int = LIMIT) -> int:
@@ -109,14 +108,14 @@ def _packed(items: DataFrame, rows: int, turn: int, limit: int) -> DataFrame:
         return pdf.drop(columns="_part").assign(sequence_id=base + bins, offset=offsets, _fill=fill[bins], _sure=len(fill) == bound)
 
     dealt = items.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).cast("int"))
-    out = dealt.groupBy("_part").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long, _fill long, _sure boolean")
+    out = dealt.groupBy("_part").applyInPandas(pack, f"{PIECES.replace('doc_id long', 'doc_id string')}, sequence_id long, offset long, _fill long, _sure boolean")
     return staged(out)
 
 
 def pack(items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """items: the columns of PIECES. Adds sequence_id and offset."""
     columns = items.columns
-    items = staged(items)
+    items = staged(items.withColumn("doc_id", F.col("doc_id").cast("string")))  # exact in pandas beside nulls
     counts = np.zeros(limit + 1, np.int64)
     for r in items.groupBy("length").count().collect():  # a row for each length, so at most `limit`
         counts[r["length"]] = r["count"]
@@ -130,7 +129,7 @@ def pack(items: DataFrame, limit: int = LIMIT) -> DataFrame:
         if again.select("sequence_id").distinct().count() >= bins[2]:
             break
         out = out.filter(~loose).unionByName(again)
-    return out.select(*columns, "sequence_id", "offset")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:

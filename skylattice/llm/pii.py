@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_document
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training windows are drawn from, windows of one document, generated windows.
 SAMPLE_DOCS, DOC_WINDOWS, GENERATED = 300, 6, 1600
@@ -386,10 +388,10 @@ def search(docs: DataFrame, net: Network) -> DataFrame:
                 found = find(net, ["" if t is None else t for t in some["text"]])
                 rows = [(*(sum(k == kind for k, _, _ in base) for kind in range(4)), hashlib.sha256(told(base).encode()).hexdigest(), told(base + more)) for base, more in found]
                 out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-                out.insert(0, "doc_id", some["doc_id"].astype("Int64").to_numpy())
+                out.insert(0, "doc_id", some["doc_id"].to_numpy())
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, RESULT)
+    return by_document(docs, run, RESULT)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_document
 from .hashing import IS_SPACE, as_bytes, windows, word_bounds, word_hashes
 
 COMMON, BUCKETS = 0.004, 4096
@@ -152,9 +153,9 @@ def judge(docs: DataFrame, ref: References | None) -> DataFrame:
                 failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
                 c, w = divergence(h, x, ref) if ref is not None else (0.0, 0.0)
                 rows.append((doc, *counts, failed, not failed and c <= MAX_CLASS and w <= MAX_WORD, c, w))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, RESULT)
+    return by_document(docs, run, RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

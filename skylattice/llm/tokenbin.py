@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import by_document, staged
 from .tokens import WordLevel, encoder
 
 END_ID, MAX_BITS, BLOCK = 2, 16, 1024
@@ -151,9 +151,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         coder = encoder(WordLevel, path)
         for pdf in batches:
             ids = [np.append(coder.ids(t), np.array([end_id], "<u4")).astype("<u2") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, ids binary")
+    return by_document(docs, run, "doc_id long, n long, ids binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -183,7 +183,7 @@ def write_files(tokens: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for doc, x in zip(pdf["doc_id"], pdf["ids"], strict=True):
-                names.append(None if pd.isna(doc) else int(doc))
+                names.append(None if doc is None else int(doc))
                 ids.append(np.frombuffer(x, "<u2"))
                 held += len(ids[-1])
                 if held >= FILE_IDS:
@@ -193,6 +193,7 @@ def write_files(tokens: DataFrame) -> DataFrame:
             yield out()
 
     ordered = tokens.repartitionByRange(max(1, -(-total // PART_IDS)), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    ordered = ordered.select(F.col("doc_id").cast("string"), "ids")  # exact in pandas beside nulls
     return staged(ordered.mapInPandas(encode, "part int, seq int, n_ids long, file binary"))
 
 

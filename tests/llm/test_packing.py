@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from skylattice.llm import packing
+from skylattice.llm.common import staged
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,20 +55,21 @@ def test_cuts():
         assert packing.cuts(n) == want
 
 
-def check(df, got):
+def check(df, out):
+    rows, got = out.collect(), out.toPandas()
     coder = Tokenizer.from_file(PATH)
     want = []
     for doc, text in df.select("doc_id", "text").collect():
         ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         want += [(doc if doc is not None else -1, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids)))]
-    assert sorted(want) == sorted((int(r.doc_id) if r.doc_id == r.doc_id and r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples())
+    assert sorted(want) == sorted((r.doc_id if r.doc_id is not None else -1, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert g["length"].sum() <= 1024 and (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all()
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
-    check(odd_docs, packing.pack_documents(odd_docs, PATH).toPandas())
+    check(odd_docs, staged(packing.pack_documents(odd_docs, PATH)))
     assert packing.pack_documents(no_docs, PATH).count() == 0
 
 
@@ -76,7 +78,7 @@ def test_exchange_saves_sequences(spark, monkeypatch):
     lengths = np.random.default_rng(5).integers(200, 700, 2000)
     items = spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
     out = packing.pack(items).toPandas()
-    alone = packing._packed(items, 2000, 0, 1024).select("sequence_id").distinct().count()
+    alone = packing._packed(items.selectExpr("cast(doc_id as string) doc_id", "piece", "start", "length", "ids_crc32"), 2000, 0, 1024).select("sequence_id").distinct().count()
     bins = out["sequence_id"].nunique()
     assert bins <= alone and len(out) == 2000 and bins >= packing.lower_bound(np.bincount(lengths, minlength=1025))
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
