@@ -117,3 +117,29 @@ def sun_and_moon(spark, sf_dir) -> DataFrame:
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000") - 946728000).alias("t"))
     return o.mapInPandas(run, "o_orderkey long, sun double, moon double")
+
+
+@register("a18_source_shards", "SELECT s_nationkey % 4 AS caster, s_suppkey AS source, (row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey) - 1) // 1024 AS worker FROM supplier")
+def source_shards(spark, sf_dir) -> DataFrame:
+    """Sources of a caster to workers of 1024."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("caster").orderBy("source")
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 4).alias("caster"), F.col("s_suppkey").alias("source"))
+    return s.withColumn("worker", F.floor((F.row_number().over(w) - 1) / 1024).cast("long"))
+
+
+@register("h03_message_rows", f"WITH {STA} SELECT id, 1005 AS type, 5 AS class, round(round(x / 1e-4) * 1e-4, 4) AS x FROM sta")
+def message_rows(spark, sf_dir) -> DataFrame:
+    """Messages decoded by a table function beside the rows they came from."""
+    from ..functions import tables as functions
+    from ..kernels import rtcm
+
+    def encode(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "body": [rtcm.encode_fields(1005, {"x": x}) for x in pdf["x"]]})
+
+    functions.register(spark)
+    m = sta(spark, sf_dir).select("id", "x").mapInPandas(encode, "id long, body binary")
+    rows = m.lateralJoin(functions.DecodedMessage(F.col("body").outer()))
+    return rows.select("id", "type", "class", F.round(F.get_json_object("fields", "$.x").cast("double"), 4).alias("x"))
