@@ -3,7 +3,8 @@
 Texts with the same words are one node. A node's five-word shingles are labelled with their occurrence numbers; each of BANDS
 sketches takes the LENGTH smallest under its own hash and keeps them in text order, so that nodes meet in a bucket when they
 share these shingles in the same order. Candidates are verified by a banded alignment: the longest common subsequence L of the
-labelled shingles, within the band that the threshold leaves, must make L / (a + b - L) at least 0.8. Classes are the connected
+labelled shingles, within the band that the threshold leaves, must make L / (a + b - L) at least 0.8; or so must that of the
+shingles' first occurrences, so that texts which repeat themselves unequally often are judged by what they say. Classes are the connected
 components of the verified links.
 
 A bucket is never expanded into all its pairs as rows. First its members meet one pivot. What is then still apart in a bucket is
@@ -41,7 +42,7 @@ def node_of(h: np.ndarray) -> bytes:
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
-    """Occurrence-labelled hashes of the shingles, in text order, each value once."""
+    """Occurrence-labelled hashes of the shingles, in text order, each value once. The lowest bit tells a first occurrence."""
     s = windows(h, WORDS) if len(h) >= WORDS else windows(h, len(h)) if len(h) else h
     if not len(s):
         return s
@@ -51,7 +52,8 @@ def shingles(h: np.ndarray) -> np.ndarray:
     at = np.arange(len(s))
     occurrence = np.empty(len(s), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return mixed(s + occurrence * np.uint64(0xD6E8FEB86659FD93))
+    labelled = mixed(s + occurrence * np.uint64(0xD6E8FEB86659FD93))
+    return labelled & ~np.uint64(1) | (occurrence == 0)
 
 
 _odd = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,8 +76,20 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return keys
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether the banded alignment of two shingle sequences reaches the similarity."""
+def aligned(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the banded alignment of two sequences of labelled shingles, or of their first occurrences, is similar enough."""
+    if reaches(a, b):
+        return True
+    x, y = first_ones(a), first_ones(b)
+    return (len(x) < len(a) or len(y) < len(b)) and reaches(x, y)
+
+
+def first_ones(s: np.ndarray) -> np.ndarray:
+    return s[(s & s.dtype.type(1)).astype(bool)]
+
+
+def reaches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the banded alignment of two sequences of distinct values reaches the similarity."""
     least = similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9
     if min(len(a), len(b)) < least:
         return False
@@ -165,18 +179,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def plausible(s: list[np.ndarray]) -> np.ndarray:
-    """Pairs (i > j) that may reach the similarity. Common shingles are at most a's shingles less the cells that a fills
-    and b doesn't, so no similar pair is left out."""
+    """Pairs (i > j) that may be similar, by all shingles or by first occurrences."""
+    ok, first = _bounded(s), [first_ones(x) for x in s]
+    if any(len(x) < len(y) for x, y in zip(first, s, strict=True)):
+        ok |= _bounded(first)
+    i, j = np.nonzero(np.tril(ok, -1))
+    return np.stack([i, j], axis=1)
+
+
+def _bounded(s: list[np.ndarray]) -> np.ndarray:
+    """Common shingles are at most a's shingles less the cells that a fills and b doesn't, so no similar pair is ruled out."""
     n = np.array([len(x) for x in s], np.float64)
     bits = np.zeros((len(s), CELLS), np.float32)
     for i, x in enumerate(s):
-        bits[i, x & np.uint32(CELLS - 1)] = 1
+        bits[i, x >> np.uint32(1) & np.uint32(CELLS - 1)] = 1
     common, filled = bits @ bits.T, bits.sum(axis=1)
     most = np.minimum((n - filled)[:, None], (n - filled)[None, :]) + common
     least = SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-6
-    ok = (most >= least) & (np.minimum(n[:, None], n[None, :]) >= least)
-    i, j = np.nonzero(np.tril(ok, -1))
-    return np.stack([i, j], axis=1)
+    return (most >= least) & (np.minimum(n[:, None], n[None, :]) >= least)
 
 
 def _compared(members: DataFrame, s: DataFrame) -> DataFrame:

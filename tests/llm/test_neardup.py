@@ -35,7 +35,15 @@ def test_alignment_equals_the_plain_table():
             b = b[k:] + b[:k]
         b = np.array(list(dict.fromkeys(b)) or [1], np.uint32)
         n = common(a.tolist(), b.tolist())
-        assert neardup.aligned(a, b) == (n / (len(a) + len(b) - n) >= 0.8 - 1e-12)
+        assert neardup.reaches(a, b) == (n / (len(a) + len(b) - n) >= 0.8 - 1e-12)
+
+
+def test_repeats_are_judged_by_first_occurrences_too():
+    line, tail = prose(1, 40), prose(2, 30)
+    texts = [" ".join([line] * 9 + [tail]), " ".join([line] * 5 + [tail]), line + " " + prose(3, 30)]
+    s = [neardup.shingles(hashes(t)).astype(np.uint32) for t in texts]
+    assert not neardup.reaches(s[0], s[1]) and neardup.aligned(s[0], s[1]) and not neardup.aligned(s[0], s[2])
+    assert [0, 1] in [sorted(p) for p in neardup.plausible(s).tolist()]
 
 
 def test_the_bound_rules_out_no_similar_pair():
