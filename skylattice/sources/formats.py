@@ -153,7 +153,51 @@ class ByteReplay(DataSource):
         return ReplayReader(dict(self.options))
 
 
+class EpochReader(SimpleDataSourceStreamReader):
+    """Observation files epoch by epoch: a micro-batch takes the next epochs of every file."""
+
+    def __init__(self, options: dict):
+        self.files, self.most = _files(options["path"]), int(options.get("epochs_per_batch", 60))
+
+    def initialOffset(self) -> dict:
+        return {"epoch": 0}
+
+    def _read(self, first: int, last: int) -> tuple[list[tuple], int]:
+        out, longest = [], 0
+        for i, path in enumerate(self.files):
+            n, t = 0, None
+            for row in rinex.observations(_lines(path)):
+                if row[0] != t:
+                    n, t = n + 1, row[0]
+                if n > last:
+                    break
+                if n > first:
+                    out.append((i + 1, *row))
+            longest = max(longest, min(n, last))
+        return out, longest
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._read(start["epoch"], start["epoch"] + self.most)
+        return iter(rows), {"epoch": max(end, start["epoch"])}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._read(start["epoch"], end["epoch"])[0])
+
+
+class EpochReplay(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "rinex_replay"
+
+    def schema(self) -> str:
+        return FORMATS["rinex_obs"][0]
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return EpochReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     for name in FORMATS:
         spark.dataSource.register(_source(name))
-    spark.dataSource.register(ByteReplay)
+    for source in (ByteReplay, EpochReplay):
+        spark.dataSource.register(source)

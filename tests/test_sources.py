@@ -97,6 +97,16 @@ def test_replay_stream_equals_batch(spark, folder, tmp_path):
     assert key(stream) == key(batch) and len(stream) == 80
 
 
+def test_epochs_as_a_stream(spark, folder, tmp_path):
+    formats.register(spark)
+    obs = spark.readStream.format("rinex_replay").option("epochs_per_batch", "2").load(str(folder / "obs"))
+    q = obs.writeStream.format("memory").queryName("epochs").option("checkpointLocation", str(tmp_path)).start()
+    q.processAllAvailable()
+    q.stop()
+    batch = spark.read.format("rinex_obs").load(str(folder / "obs"))
+    assert same(map(tuple, spark.table("epochs").collect()), map(tuple, batch.collect())) and batch.count() == 28
+
+
 def test_control_files(spark, tmp_path):
     (tmp_path / "src").write_text("A,1.2.3.4,2101,u,p,M1,30.0,110.0,50.0#\nA,9.9.9.9,1,u,p,M2#\nbad,line#\n")
     got = configs.read(spark, str(tmp_path / "src"), "sources").collect()
