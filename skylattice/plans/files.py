@@ -41,10 +41,10 @@ def navigation_file(spark, sf_dir) -> DataFrame:
     return eph(spark, sf_dir).groupBy("sat").applyInPandas(run, "sat string, toc long, iode long, crs double, exact boolean")
 
 
-@register("a04_clock_combination", "SELECT l_orderkey AS t, arg_max(l_discount, l_linenumber * 1000000 + l_partkey) FILTER (l_discount <> 0) AS clock FROM lineitem GROUP BY 1")
+@register("a04_clock_combination", "SELECT l_orderkey AS t, arg_max(l_discount, {'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_extendedprice, 'e': l_discount}) FILTER (l_discount <> 0) AS clock FROM lineitem GROUP BY 1")
 def clock_combination(spark, sf_dir) -> DataFrame:
     """Of several files' values the last that isn't zero stays."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("file"), F.col("l_discount").alias("clock"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount").alias("file"), F.col("l_discount").alias("clock"))
     return combine.later_wins(li, ["t"], ["clock"])
 
 
