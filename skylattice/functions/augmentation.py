@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PI = 3.141592653589793
@@ -20,16 +20,19 @@ def _by_latitude(values: tuple[float, ...], deg: Column) -> Column:
     return F.element_at(at, k) * (1 - a) + F.element_at(at, k + 1) * a
 
 
-def troposphere(day_of_year: Column, lat: Column, h: Column, el: Column) -> Column:
-    """Slant delay (m); 0 below the horizon and out of -100 m to 10 km. Angles in radians."""
+def with_troposphere(df: DataFrame, name: str, day_of_year: Column, lat: Column, h: Column, el: Column) -> DataFrame:
+    """Adds the slant delay (m); 0 below the horizon and out of -100 m to 10 km. Angles in radians. The parameters are columns of a
+    projection of their own, so that each is computed once and the generated code stays small."""
     deg = F.abs(lat * 180 / PI)
     c = F.cos(2 * PI * (day_of_year - F.when(lat >= 0, 28.0).otherwise(211.0)) / 365.25)
-    p, t, e, beta, lam = (_by_latitude(m, deg) - _by_latitude(s, deg) * c for m, s in zip(MEAN, SEASON, strict=True))
+    names = ("_p", "_t", "_e", "_beta", "_lam")
+    x = df.withColumns({"_h": h, "_sin": F.sin(el), "_up": el > 0} | {n: _by_latitude(m, deg) - _by_latitude(s, deg) * c for n, m, s in zip(names, MEAN, SEASON, strict=True)})
+    p, t, e, beta, lam = map(F.col, names)
     dry, wet = 1e-6 * K1 * RD * p / GM, 1e-6 * K2 * RD / (GM * (lam + 1) - beta * RD) * e / t
-    fall = 1 - beta * h / t
+    fall = 1 - beta * F.col("_h") / t
     zenith = dry * F.pow(fall, G / (RD * beta)) + wet * F.pow(fall, (lam + 1) * G / (RD * beta) - 1)
-    sin = F.sin(el)
-    return F.when((h < -100) | (h > 1e4) | (el <= 0), F.lit(0.0)).otherwise(zenith * 1.001 / F.sqrt(0.002001 + sin * sin))
+    out = F.when((F.col("_h") < -100) | (F.col("_h") > 1e4) | ~F.col("_up"), F.lit(0.0)).otherwise(zenith * 1.001 / F.sqrt(0.002001 + F.col("_sin") * F.col("_sin")))
+    return x.withColumn(name, out).drop(*names, "_h", "_sin", "_up")
 
 
 def grid_delay(x: Column, y: Column, corner: dict[tuple[int, int], Column]) -> Column:

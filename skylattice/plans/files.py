@@ -93,8 +93,8 @@ _PT = [f"({_lat(m)} - {_lat(s)} * c)" for m, s in zip(augmentation.MEAN, augment
 v AS (SELECT id, h, s, {_PT[0]} AS p, {_PT[1]} AS t, {_PT[2]} AS e, {_PT[3]} AS b, {_PT[4]} AS l FROM w)
 SELECT id, round((1e-6 * 77.604e0 * 287.054e0 * p / 9.784e0 * pow(1 - b * h / t, 9.80665e0 / (287.054e0 * b)) + 1e-6 * 382000e0 * 287.054e0 / (9.784e0 * (l + 1) - b * 287.054e0) * e / t * pow(1 - b * h / t, (l + 1) * 9.80665e0 / (287.054e0 * b) - 1)) * 1.001e0 / sqrt(0.002001e0 + s * s), 7) AS trop FROM v""")
 def augmentation_troposphere(spark, sf_dir) -> DataFrame:
-    d = augmentation.troposphere(F.col("id") % 365 + 1, F.radians("lat"), F.col("h"), F.radians(5 + F.col("id") % 85))
-    return sta(spark, sf_dir).select("id", F.round(d, 7).alias("trop"))
+    s = augmentation.with_troposphere(sta(spark, sf_dir), "trop", F.col("id") % 365 + 1, F.radians("lat"), F.col("h"), F.radians(5 + F.col("id") % 85))
+    return s.select("id", F.round("trop", 7).alias("trop"))
 
 
 @register("g15_augmentation_grid", """WITH q AS (SELECT event_id, (event_id % 97) / 97e0 AS x, (event_id % 89) / 89e0 AS y, CASE WHEN event_id % 5 = 1 THEN NULL ELSE value END AS c00, value + 1 AS c10, CASE WHEN event_id % 7 = 3 THEN NULL ELSE value + 2 END AS c01, CASE WHEN event_id % 3 = 2 THEN NULL ELSE value + 4 END AS c11 FROM events)

@@ -68,7 +68,7 @@ def fault_exclusion(spark, sf_dir) -> DataFrame:
     return _spread(sta(spark, sf_dir).select("id", "x", "y", "z"), "id").mapInPandas(solve, "id long, fault long")
 
 
-@register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 2) AS ve, round((id % 7) * -1.25e0, 2) AS vn FROM sta")
+@register("i03_doppler_velocity", f"WITH {STA} SELECT id, round((id % 20) * 0.5e0, 2) + 0e0 AS ve, round((id % 7) * -1.25e0, 2) + 0e0 AS vn FROM sta")
 def doppler_velocity(spark, sf_dir) -> DataFrame:
     def solve(batches):
         for pdf in batches:

@@ -183,7 +183,7 @@ def tec_grid(spark, sf_dir) -> DataFrame:
 NEWTON = "".join(f", k{i + 1} AS (SELECT * EXCLUDE (u), u - (u - ec * sin(u) - m) / (1 - ec * cos(u)) AS u FROM k{i})" for i in range(8))
 
 
-@register("g17_kepler_equation", f"WITH k0 AS (SELECT o_orderkey, (o_totalprice - floor(o_totalprice / 6.28e0) * 6.28e0) - 3.14e0 AS m, (o_custkey % 200) / 10000e0 AS ec, (o_totalprice - floor(o_totalprice / 6.28e0) * 6.28e0) - 3.14e0 AS u FROM orders){NEWTON} SELECT o_orderkey, round(u, 9) AS e, round(atan2(sqrt(1 - ec * ec) * sin(u), cos(u) - ec), 9) AS v FROM k8")
+@register("g17_kepler_equation", f"WITH k0 AS (SELECT o_orderkey, (o_totalprice - floor(o_totalprice / 6.28e0) * 6.28e0) - 3.14e0 AS m, (o_custkey % 200) / 10000e0 AS ec, (o_totalprice - floor(o_totalprice / 6.28e0) * 6.28e0) - 3.14e0 AS u FROM orders){NEWTON} SELECT o_orderkey, round(u, 9) + 0e0 AS e, round(atan2(sqrt(1 - ec * ec) * sin(u), cos(u) - ec), 9) + 0e0 AS v FROM k8")
 def kepler_equation(spark, sf_dir) -> DataFrame:
     """Eccentric and true anomaly by eight Newton steps."""
     m = F.col("o_totalprice") - F.floor(F.col("o_totalprice") / 6.28e0) * 6.28e0 - 3.14e0
