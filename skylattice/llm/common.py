@@ -49,6 +49,17 @@ def by_document(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+#: A sampled id that stands for more documents than this isn't learnt from.
+MOST_COPIES = 8
+
+
+def seldom(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of the (few, distinct) ids that docs holds at most MOST_COPIES times: a sample by id stays bounded when one id is
+    on a large share of all rows. Counts combine before the shuffle."""
+    n = docs.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy("doc_id").count()
+    return n.filter(F.col("count") <= MOST_COPIES).select("doc_id")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

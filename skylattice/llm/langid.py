@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_document, held_out
+from .common import by_document, held_out, seldom
 
 #: Most documents of a language that the classifiers learn from, and the number of hashed n-gram features.
 SAMPLE_DOCS, FEATURES = 400, 4096
@@ -120,7 +120,7 @@ def train(docs: DataFrame) -> Model | None:
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct().limit(MOST_DOCS)
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(seldom(known, chosen)), "doc_id")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

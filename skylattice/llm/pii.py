@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_document
+from .common import by_document, seldom
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training windows are drawn from, windows of one document, generated windows.
@@ -368,7 +368,7 @@ def train(docs: DataFrame) -> Network:
                     rows.append((doc, np.append(x, pad).tobytes(), np.append(tags(spans, w, len(x)), pad).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "x", "y"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(take, "doc_id long, x binary, y binary").limit(2 * SAMPLE_DOCS * DOC_WINDOWS).toPandas()
+    got = docs.select("doc_id", "text").join(F.broadcast(seldom(docs, chosen)), "doc_id").mapInPandas(take, "doc_id long, x binary, y binary").limit(2 * SAMPLE_DOCS * DOC_WINDOWS).toPandas()
     got = got.sort_values(["doc_id", "x", "y"], kind="stable")
     x, y = generated(GENERATED)
     read = lambda c: [np.frombuffer(b, np.uint8)[None] for b in got[c]]

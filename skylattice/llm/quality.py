@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out
+from .common import held_out, seldom
 from .hashing import IS_SPACE, P, as_bytes, mixed, word_bounds, word_hashes
 
 #: Most labelled documents learnt from; hashed rows for words and for n-grams; vector length; passes.
@@ -101,6 +101,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 rows, counts = np.unique(feature_rows(text), return_counts=True)
                 yield pd.DataFrame({"doc_id": [doc], "label": [label], "rows": [rows.astype("<i4").tobytes()], "counts": [counts.astype("<i4").tobytes()]})
 
+    chosen = chosen.join(F.broadcast(seldom(docs, chosen.select("doc_id").distinct())), "doc_id")
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(take, "doc_id long, label int, rows binary, counts binary").toPandas()
     if got.empty:
         return Model(np.zeros(REPEAT_ROW + 1, np.float32), 0.0)

@@ -7,7 +7,7 @@ runs through all blocks of a file in step. Files travel as rows of a table in th
 writers commit them whole and a lost executor costs a task, not a file.
 
 Defined cases. Null text: empty, so the end id alone. Null doc_id: first in order. Repeated rows: each is stored; equal ids
-are ordered by length, then content. An empty table gives no files and an empty result.
+are ordered by length, then checksum. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -192,7 +192,10 @@ def write_files(tokens: DataFrame) -> DataFrame:
         if names:
             yield out()
 
-    ordered = tokens.repartitionByRange(max(1, -(-total // PART_IDS)), "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # Rows of one id may be many: what follows the id in the key lets them go to several tasks, in a defined order.
+    order = ["doc_id", "n", "_crc", "_row"]
+    ordered = tokens.withColumns({"_crc": F.crc32("ids"), "_row": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(max(1, -(-total // PART_IDS)), *order).sortWithinPartitions(*order)
     ordered = ordered.select(F.col("doc_id").cast("string"), "ids")  # exact in pandas beside nulls
     return staged(ordered.mapInPandas(encode, "part int, seq int, n_ids long, file binary"))
 

@@ -46,3 +46,13 @@ def test_odd_documents(spark, odd_docs, no_docs):
     empty = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, quality int")
     assert quality.keep(odd_docs, empty).count() == odd_docs.count()  # nothing learnt: every score is 0.5
     assert quality.keep(no_docs, labels).count() == 0
+
+
+def test_an_id_on_very_many_rows_is_not_learnt_from(spark):
+    docs, labels = corpus(spark)
+    from skylattice.llm.common import MOST_COPIES, seldom
+
+    many = docs.unionAll(spark.range(500).selectExpr("9999L as doc_id", "'x' as text"))
+    ids = spark.createDataFrame([(9999,), (1,), (77777,)], "doc_id long")
+    assert [r["doc_id"] for r in seldom(many, ids).collect()] == [1] and MOST_COPIES < 500
+    quality.train(many, labels.unionAll(spark.createDataFrame([(9999, 1)], labels.schema)))
