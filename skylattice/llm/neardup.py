@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_document, staged
+from .common import staged
 from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -111,7 +111,7 @@ def reaches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without words) and keys of each document."""
+    """doc_id, text_hash, node (null without words) and keys of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -122,13 +122,16 @@ def sketches(docs: DataFrame) -> DataFrame:
                     h = word_hashes(x, *word_bounds(x))
                     nodes.append(node_of(h) if len(h) else None)
                     keys.append(sketch(shingles(h)).view(np.int64) if len(h) else None)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": nodes, "keys": keys})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "node": nodes, "keys": keys})
 
-    return by_document(docs, run, "doc_id long, node binary, keys array<long>")
+    told = docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("text_hash"), "text")
+    out = told.mapInPandas(run, "doc_id string, text_hash long, node binary, keys array<long>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """node and its shingles (32 bits each), read from the document that owns the node."""
+    """node and its shingles (32 bits each), read from the document that owns the node. It is found by its id and its text's hash, so that
+    an id which many rows share, or which they lack, doesn't match each of them with each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,11 +139,12 @@ def _shingled(docs: DataFrame, owners: DataFrame) -> DataFrame:
             for node, text in zip(pdf["node"], pdf["text"], strict=True):
                 x = as_bytes(text)
                 h = word_hashes(x, *word_bounds(x))
-                if node_of(h) == node:  # a repeated doc_id may have other texts
+                if node_of(h) == node:  # whatever the hash says
                     rows.append((node, shingles(h).astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["node", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(owners, F.col("_id").eqNullSafe(F.col("owner")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    texts = texts.join(owners, F.col("_id").eqNullSafe(F.col("_own.doc_id")) & (F.col("_hash") == F.col("_own.text_hash")))
     return texts.select("node", "text").mapInPandas(run, "node binary, s binary").dropDuplicates(["node"])
 
 
@@ -236,7 +240,8 @@ def _compared(members: DataFrame, s: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of each document."""
     known = staged(sketches(docs))
-    owners = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
+    owners = known.filter("node IS NOT NULL").groupBy("node").agg(least.alias("_own"))
     bands = known.filter("node IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("band", "key")
     members = staged(bands.join(shared, ["band", "key"]).distinct())
@@ -251,7 +256,7 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = members.select("node").distinct().join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = labels.join(second, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
     nodes = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = nodes.groupBy("label").agg(F.min("owner").alias("class_id"))
+    least = nodes.groupBy("label").agg(F.min("_own.doc_id").alias("class_id"))
     nodes = nodes.join(least, "label").select("node", "class_id")
     out = known.select("doc_id", "node").join(nodes, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -137,3 +137,12 @@ def test_a_null_id_joins_its_class(spark):
     t = prose(3, 50)
     df = spark.createDataFrame([(None, t), (9, t), (4, t + " more")], "doc_id long, text string")
     assert {r["class_id"] for r in neardup.classes(df).collect()} == {4}
+
+
+def test_many_texts_under_one_id(spark):
+    """Repeated and missing ids: links are found by text, and no row meets each other row of its id."""
+    rows = [(i, t) for k in range(40) for t in (prose(k, 60), prose(k, 60) + " end") for i in (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in neardup.classes(df).collect()} == {(7, 7), (None, 7)}
+    none = df.filter("doc_id IS NULL")
+    assert {r["class_id"] for r in neardup.classes(none).collect()} == {None} and neardup.one_of_each(none).count() == 80
