@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -49,6 +50,13 @@ def by_document(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect plans that nothing refers to any more: executors then delete the shuffle files of steps whose results
+    are staged. Without it they stay until the driver's memory happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A sampled id that stands for more documents than this isn't learnt from.
 MOST_COPIES = 8
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -247,6 +247,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members = staged(bands.join(shared, ["band", "key"]).distinct())
     within = members.select("node").distinct()
     s = staged(_shingled(docs, owners.join(within, "node")))
+    release(docs.sparkSession)
     pivot = members.groupBy("band", "key").agg(F.min("node").alias("b"))
     pairs = members.join(pivot, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     first = components(_verified(pairs, s))
@@ -266,6 +267,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class (that with the least doc_id; documents without an id stay)."""
     c = classes(docs)
     kept = staged(c.filter("doc_id = class_id").groupBy("doc_id").count())
+    del c
+    release(docs.sparkSession)
     out = docs.filter("doc_id IS NULL").unionByName(docs.join(kept.filter("count = 1").select("doc_id"), "doc_id", "left_semi"))
     many = docs.join(kept.filter("count > 1").select("doc_id"), "doc_id", "left_semi")
     return out.unionByName(many.dropDuplicates(["doc_id"]))
