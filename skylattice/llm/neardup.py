@@ -2,10 +2,11 @@
 
 Texts with the same words are one node. A node's five-word shingles are labelled with their occurrence numbers; each of BANDS
 sketches takes the LENGTH smallest under its own hash and keeps them in text order, so that nodes meet in a bucket when they
-share these shingles in the same order. Candidates are verified by a banded alignment: the longest common subsequence L of the
-labelled shingles, within the band that the threshold leaves, must make L / (a + b - L) at least 0.8; or so must that of the
-shingles' first occurrences, so that texts which repeat themselves unequally often are judged by what they say. Classes are the connected
-components of the verified links.
+share these shingles in the same order. Where a pair may have one node of fewer than EXACT shingles, sketches would miss too
+many, and all choices of LENGTH (or all common) shingles that such a pair can share are keys too: these pairs meet with certainty.
+Candidates are verified by a banded alignment: the longest common subsequence L of the labelled shingles, within the band that the
+threshold leaves, must make L / (a + b - L) at least 0.8; or so must that of the shingles' first occurrences, so that texts which
+repeat themselves unequally often are judged by what they say. Classes are the connected components of the verified links.
 
 A bucket is never expanded into all its pairs as rows. First its members meet one pivot. What is then still apart in a bucket is
 compared in full, in pairs of blocks, inside tasks: a bound on common shingles, from the cells of a bitmap that they fill, rules out
@@ -22,6 +23,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ from .hashing import as_bytes, mixed, windows, word_bounds, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, LENGTH, SEED = 32, 6, 97
+#: Pairs of which one has fewer shingles than this meet with certainty.
+EXACT = 16
 #: Members of one block when the rest of a bucket is compared in full, and cells of a bitmap.
 BLOCK, CELLS = 256, 1024
 
@@ -76,6 +81,40 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return keys
 
 
+@cache
+def choices(n: int) -> list[np.ndarray]:
+    """Which of a node's n shingles, by rank of their values, make the keys by which it meets all nodes similar to it, if it or they
+    have fewer than EXACT; a row for each key. A similar node of m shingles has `least` in common with it in the same order, so at most
+    n - least others are among the smallest before the k smallest common ones. There are 84 keys at most."""
+    longest: dict[int, int] = {}
+    for m in range(1, n * 5 // 4 + 1 if 4 * n <= 5 * (EXACT - 1) else 1):
+        least = -(-4 * (n + m) // 9)  # of common / all >= 0.8
+        if least <= min(n, m) and min(n, m) < EXACT:
+            k = min(LENGTH, least)
+            longest[k] = max(longest.get(k, 0), n - least + k)
+    return [np.array(list(combinations(range(size), k))) for k, size in sorted(longest.items())]
+
+
+_short = np.uint64(0xA24BAED4963EE407)  # apart from the bands
+
+
+def exact_keys(s: np.ndarray) -> np.ndarray:
+    """Bucket keys of few shingles."""
+    by_value, keys = np.argsort(s, kind="stable"), []
+    for ranks in choices(len(s)):
+        chosen = s[np.sort(by_value[ranks], axis=1)]  # text order
+        key = np.full(len(chosen), _short + np.uint64(ranks.shape[1]))
+        for k in range(ranks.shape[1]):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + chosen[:, k])
+        keys.append(key)
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+
+
+def bucket_keys(s: np.ndarray) -> np.ndarray:
+    """All bucket keys of a node, each once."""
+    return np.unique(np.concatenate([exact_keys(s), sketch(s) if len(s) >= EXACT else np.empty(0, np.uint64)]))
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the banded alignment of two sequences of labelled shingles, or of their first occurrences, is similar enough."""
     if reaches(a, b):
@@ -111,7 +150,7 @@ def reaches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (null without words) and keys of each document."""
+    """doc_id, text_hash, node (null without words) and bucket keys of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -121,7 +160,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     x = as_bytes(text)
                     h = word_hashes(x, *word_bounds(x))
                     nodes.append(node_of(h) if len(h) else None)
-                    keys.append(sketch(shingles(h)).view(np.int64) if len(h) else None)
+                    keys.append(bucket_keys(shingles(h)).view(np.int64) if len(h) else None)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "node": nodes, "keys": keys})
 
     told = docs.select(F.col("doc_id").cast("long").cast("string"), F.xxhash64("text").alias("text_hash"), "text")
@@ -206,8 +245,8 @@ def _bounded(s: list[np.ndarray]) -> np.ndarray:
 def _compared(members: DataFrame, s: DataFrame) -> DataFrame:
     """Links between classes (a, b: labels) that full comparison of the members of each bucket finds."""
     spark = members.sparkSession
-    size = members.groupBy("band", "key").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    m = members.join(size, ["band", "key"]).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    size = members.groupBy("key").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    m = members.join(size, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     m = m.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
 
@@ -231,7 +270,7 @@ def _compared(members: DataFrame, s: DataFrame) -> DataFrame:
                 under[max(x, y)] = min(x, y)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    keys = ["band", "key", "_lo", "_hi"]
+    keys = ["key", "_lo", "_hi"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.join(s, "node").repartition(parts, *keys)  # small rows, long work: not to be put together to few tasks
     return dealt.groupBy(*keys).applyInPandas(compare, "a binary, b binary")
@@ -242,18 +281,18 @@ def classes(docs: DataFrame) -> DataFrame:
     known = staged(sketches(docs))
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
     owners = known.filter("node IS NOT NULL").groupBy("node").agg(least.alias("_own"))
-    bands = known.filter("node IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("band", "key")
-    members = staged(bands.join(shared, ["band", "key"]).distinct())
+    bands = known.filter("node IS NOT NULL").select("node", F.explode("keys").alias("key"))  # a key tells its band
+    shared = bands.groupBy("key").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("key")
+    members = staged(bands.join(shared, "key").distinct())
     within = members.select("node").distinct()
     s = staged(_shingled(docs, owners.join(within, "node")))
     release(docs.sparkSession)
-    pivot = members.groupBy("band", "key").agg(F.min("node").alias("b"))
-    pairs = members.join(pivot, ["band", "key"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    pivot = members.groupBy("key").agg(F.min("node").alias("b"))
+    pairs = members.join(pivot, "key").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     first = components(_verified(pairs, s))
     left = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = left.groupBy("band", "key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_m")).filter("_x != _y AND _m > 2").select("band", "key")
-    second = components(_compared(left.join(apart, ["band", "key"]), s)).select(F.col("node").alias("label"), F.col("label").alias("_top"))
+    apart = left.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_m")).filter("_x != _y AND _m > 2").select("key")
+    second = components(_compared(left.join(apart, "key"), s)).select(F.col("node").alias("label"), F.col("label").alias("_top"))
     labels = members.select("node").distinct().join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = labels.join(second, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
     nodes = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

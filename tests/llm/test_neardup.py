@@ -146,3 +146,38 @@ def test_many_texts_under_one_id(spark):
     assert {(r["doc_id"], r["class_id"]) for r in neardup.classes(df).collect()} == {(7, 7), (None, 7)}
     none = df.filter("doc_id IS NULL")
     assert {r["class_id"] for r in neardup.classes(none).collect()} == {None} and neardup.one_of_each(none).count() == 80
+
+
+def got_and_wanted(spark, texts):
+    ids = list(range(len(texts)))
+    got = neardup.classes(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+    return {r["doc_id"]: r["class_id"] for r in got.collect()}, brute(texts, ids)
+
+
+def test_short_near_copies_meet(spark):
+    """Few shingles: a word more at the end or the start, another first word."""
+    texts = []
+    for g in range(60):
+        for n in (8, 9, 12, 13, 14, 17, 19):
+            t = prose(1000 * n + g, n)
+            texts += [t, t + " more", "other " + t.split(" ", 1)[1], "before " + t]
+    got, want = got_and_wanted(spark, texts)
+    assert got == want and sum(i != c for i, c in want.items()) > 1000
+
+
+def test_similar_pairs_of_few_shingles_share_a_key():
+    r, seen = random.Random(11), set()
+    for _ in range(20_000):
+        a = [r.getrandbits(64) for _ in range(r.randint(1, 18))]
+        b = [x for x in a if r.random() > 0.1]
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randint(0, len(b)), r.getrandbits(64))
+        if r.random() < 0.2 and len(b) > 1:
+            k = r.randrange(len(b) - 1)
+            b[k], b[k + 1] = b[k + 1], b[k]
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        if len(b) and min(len(a), len(b)) < 16 and neardup.reaches(a, b):
+            seen.add((len(a), len(b)))
+            x, y = (neardup.bucket_keys(s) for s in (a, b))
+            assert len(np.intersect1d(x, y)) and len(x) <= 84 + 28 + neardup.BANDS
+    assert {(4, 5), (5, 4), (12, 15), (15, 18), (15, 15)} <= seen
