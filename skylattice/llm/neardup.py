@@ -6,7 +6,7 @@ share these shingles in the same order. Where a pair may have one node of fewer
 many, and all choices of LENGTH (or all common) shingles that such a pair can share are keys too: these pairs meet with certainty.
 Candidates are verified by a banded alignment: the longest common subsequence L of the labelled shingles, within the band that the
 threshold leaves, must make L / (a + b - L) at least 0.8; or so must that of the shingles' first occurrences, so that texts which
-repeat themselves unequally often are judged by what they say. Classes are the connected components of the verified links.
+repeat themselves unequally often are judged by what they say; first occurrences have keys of their own where they differ. Classes are the connected components of the verified links.
 
 A bucket is never expanded into all its pairs as rows. First its members meet one pivot. What is then still apart in a bucket is
 compared in full, in pairs of blocks, inside tasks: a bound on common shingles, from the cells of a bitmap that they fill, rules out
@@ -111,8 +111,10 @@ def exact_keys(s: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(s: np.ndarray) -> np.ndarray:
-    """All bucket keys of a node, each once."""
-    return np.unique(np.concatenate([exact_keys(s), sketch(s) if len(s) >= EXACT else np.empty(0, np.uint64)]))
+    """All bucket keys of a node, each once: those of its shingles and, as aligned() judges by these too, of their first occurrences."""
+    first = first_ones(s)
+    both = [s, first] if len(first) < len(s) else [s]
+    return np.unique(np.concatenate([exact_keys(x) for x in both] + [sketch(x) for x in both if len(x) >= EXACT]))
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> bool:

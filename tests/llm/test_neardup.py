@@ -181,3 +181,13 @@ def test_similar_pairs_of_few_shingles_share_a_key():
             x, y = (neardup.bucket_keys(s) for s in (a, b))
             assert len(np.intersect1d(x, y)) and len(x) <= 84 + 28 + neardup.BANDS
     assert {(4, 5), (5, 4), (12, 15), (15, 18), (15, 15)} <= seen
+
+
+def test_unequally_repeated_copies_meet(spark):
+    texts = []
+    for g in range(12):
+        t, line = prose(3000 + g, 60), prose(4000 + g, 12)
+        texts += [t, t + " " + t, " ".join([t] * 3), " ".join([t] * 9) + " end"]
+        texts += [" ".join([line] * n) for n in (1, 2, 10, 100)] + [prose(5000 + g, 5) + " tail", " ".join(["same"] * (g + 5))]
+    got, want = got_and_wanted(spark, texts)
+    assert got == want and sum(i != c for i, c in want.items()) > 70
