@@ -14,8 +14,9 @@ most pairs, the others are aligned unless they have come together meanwhile, and
 So no link between texts of a bucket is lost, and one large class costs a row for each member.
 
 Defined cases. Null or empty text, or one without words: a class of its own. Fewer than five words: the whole text is the one
-shingle, so only equal texts meet. Null doc_id: gets its class's id, the least doc_id in it (null if there is none). Repeated
-rows: one class, each row returned. An empty table gives an empty result. Texts are read whole.
+shingle, so only equal texts meet. Null doc_id: gets its class's id, the least doc_id in it (null if there is none). An id of
+different texts: each text is in its own class, and class_label tells classes apart whose least doc_id is the same. Repeated rows:
+one class, each row returned. An empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -278,8 +279,9 @@ def _compared(members: DataFrame, s: DataFrame) -> DataFrame:
     return dealt.groupBy(*keys).applyInPandas(compare, "a binary, b binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of each document."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and node (null without words) of each document; node, label and _own, its least document, of each node. A
+    class is a label: its least doc_id may be that of other classes too, where different texts share an id."""
     known = staged(sketches(docs))
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
     owners = known.filter("node IS NOT NULL").groupBy("node").agg(least.alias("_own"))
@@ -298,21 +300,35 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = members.select("node").distinct().join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = labels.join(second, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
     nodes = owners.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return known, nodes
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and class_label of each document. class_label differs between all classes."""
+    known, nodes = _labelled(docs)
     least = nodes.groupBy("label").agg(F.min("_own.doc_id").alias("class_id"))
-    nodes = nodes.join(least, "label").select("node", "class_id")
-    out = known.select("doc_id", "node").join(nodes, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    nodes = nodes.join(least, "label").select("node", "class_id", "label")
+    out = known.select("doc_id", "text_hash", "node").join(nodes, "node", "left")
+    alone = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("text_hash"))
+    wordless = F.col("node").isNull()
+    return out.select("doc_id", F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(wordless, alone).otherwise(F.hex("label")).alias("class_label"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class (that with the least doc_id; documents without an id stay)."""
-    c = classes(docs)
-    kept = staged(c.filter("doc_id = class_id").groupBy("doc_id").count())
-    del c
+    """docs without all but one document of each class (that with the least doc_id and, of these, text hash; documents without an id
+    stay). Of rows that repeat an id and its text one stays."""
+    known, nodes = _labelled(docs)
+    least = nodes.groupBy("label").agg(F.min("_own").alias("_own")).select("_own.doc_id", "_own.text_hash").filter("doc_id IS NOT NULL")
+    rows = known.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("count"), F.max(F.col("node").isNull()).alias("wordless"))
+    kept = staged(rows.join(least.withColumn("_least", F.lit(True)), ["doc_id", "text_hash"], "left").filter("_least OR wordless").select("doc_id", "text_hash", "count"))
+    del known, nodes, least, rows
     release(docs.sparkSession)
-    out = docs.filter("doc_id IS NULL").unionByName(docs.join(kept.filter("count = 1").select("doc_id"), "doc_id", "left_semi"))
-    many = docs.join(kept.filter("count > 1").select("doc_id"), "doc_id", "left_semi")
-    return out.unionByName(many.dropDuplicates(["doc_id"]))
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")]
+    on = lambda some: some.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    told = docs.filter("doc_id IS NOT NULL").select("*", *key)
+    once = told.join(on(kept.filter("count = 1")), ["_id", "_hash"], "left_semi")
+    many = told.join(on(kept.filter("count > 1")), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return docs.filter("doc_id IS NULL").unionByName(once.unionByName(many).drop("_id", "_hash"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -191,3 +191,18 @@ def test_unequally_repeated_copies_meet(spark):
         texts += [" ".join([line] * n) for n in (1, 2, 10, 100)] + [prose(5000 + g, 5) + " tail", " ".join(["same"] * (g + 5))]
     got, want = got_and_wanted(spark, texts)
     assert got == want and sum(i != c for i, c in want.items()) > 70
+
+
+def test_one_of_each_text_where_ids_repeat(spark):
+    """Different texts under one id all stay; a text whose copy stays goes, whatever else its id has."""
+    rows = [(7, t) for k in range(20) for t in (prose(k, 60), prose(k, 60) + " end")]
+    rows += [(3, prose(100, 60)), (5, prose(100, 60) + " end"), (5, prose(101, 60)), (5, prose(101, 60)), (5, ""), (5, ""), (5, " "), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"], r["class_label"]) for r in neardup.classes(df).collect()]
+    assert len(got) == len(rows)
+    assert len({c for _, i, c in got if i == 7}) == 20 and {i for i, c, _ in got if c == 7} == {7}
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect())
+    assert [t for i, t in kept if i == 3] == [prose(100, 60)]
+    assert [t for i, t in kept if i == 5] == sorted(["", " ", prose(101, 60)]) and [t for i, t in kept if i == 8] == [""]
+    sevens = [t for i, t in kept if i == 7]
+    assert len(sevens) == 20 and {t.removesuffix(" end") for t in sevens} == {prose(k, 60) for k in range(20)}
