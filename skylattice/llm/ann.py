@@ -8,8 +8,9 @@ so far above the distance that the query's k-th best inner product allows that c
 and distances are tied by the norms: |q - x|^2 = |q|^2 + |x|^2 - 2 q.x. Survivors are ranked by inner products of the original
 vectors in double precision.
 
-Equal vectors are searched once: only the k + 1 least ids of equal vectors can be among k nearest, so these travel with the
-vector, and equal queries share one search. Lists are put together to shards of bounded size and a larger list is cut into
+Equal vectors are searched once: only the k + 1 least different ids of equal vectors can be among k nearest, so these travel with the
+vector, with their numbers of rows, and equal queries share one search. An id that is on several vectors has searches of its own, which
+pass over the vectors that are its alone: however many rows the query's own id has, k others are found. Lists are put together to shards of bounded size and a larger list is cut into
 several, so a hot list is many tasks; a task finds the k + 1 nearest of one block of queries in one shard.
 
 Defined cases. Null or zero vectors, those that hold null or non-finite components, and rows without an id take no part. Vectors
@@ -103,8 +104,8 @@ def shards(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """v (doubles as bytes, null-free), its length d and norm, and ids, the k + 1 least of its vec_id."""
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """v (doubles as bytes, null-free), its length d and norm, vec_id and n, the number of its rows with v."""
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,15 +118,21 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["vec_id", "d", "norm", "v"])
 
     x = vectors.select(F.col("vec_id").cast("string"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(clean, "vec_id long, d int, norm double, v binary")
-    least = Window.partitionBy("v").orderBy("vec_id")
-    few = x.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1)
-    return few.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.max("norm").alias("norm"))
+    return x.groupBy("v", "d", "vec_id").agg(F.count("*").alias("n"), F.max("norm").alias("norm"))
+
+
+def with_ids(x: DataFrame, k: int) -> DataFrame:
+    """v, d, norm and ids: the k + 1 least different ids of v, each with its number of rows (k at most)."""
+    few = x.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
+    one = F.struct("vec_id", F.least("n", F.lit(k).cast("long")).alias("n"))
+    return few.groupBy("v", "d").agg(F.sort_array(F.collect_list(one)).alias("ids"), F.max("norm").alias("norm"))
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PROBES) -> DataFrame:
     """vectors: vec_id, embedding. The k nearest of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    x = staged(distinct_vectors(vectors, k))
+    each_id = staged(distinct_vectors(vectors))
+    x = staged(with_ids(each_id, k))
     size = x.groupBy("d").count().orderBy(F.desc("count"), "d").head()
     if size is None:
         return spark.createDataFrame([], RESULT)
@@ -148,15 +155,15 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"list": (level(pdf["v"]) @ centers.T - half).argmax(axis=1), "v": pdf["v"], "ids": pdf["ids"]})
+                yield pd.DataFrame({"list": (level(pdf["v"]) @ centers.T - half).argmax(axis=1), "v": pdf["v"], "ids": pdf["ids"], "counts": pdf["counts"]})
 
-    listed = staged(x.select("v", "ids").mapInPandas(assign, "list int, v binary, ids array<long>"))
+    listed = staged(x.select("v", F.col("ids.vec_id").alias("ids"), F.col("ids.n").alias("counts")).mapInPandas(assign, "list int, v binary, ids array<long>, counts array<long>"))
     place = shards({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()})  # at most MOST_LISTS rows
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for b in pdf["v"]:
+            for b, but in zip(pdf["v"], pdf["but"], strict=True):
                 v = np.frombuffer(b, np.float64)
                 v = v * (top / np.sqrt(v @ v))
                 far = np.sqrt(np.maximum(top**2 + 2 * (half - centers[:, :d] @ v), 0))
@@ -167,36 +174,45 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
                     if one in place:
                         for s in range(place[one][0], sum(place[one])):
                             into.setdefault(s, []).append(one)
-                rows += [(s, b, lists) for s, lists in into.items()]
-            yield pd.DataFrame(rows, columns=["shard", "v", "lists"])
+                rows += [(s, b, but, lists) for s, lists in into.items()]
+            yield pd.DataFrame(rows, columns=["shard", "v", "but", "lists"])
 
     first, parts = (F.create_map(*[F.lit(y) for one, at in place.items() for y in (one, at[i])]) for i in (0, 1))
     listed = listed.withColumn("shard", first[F.col("list")] + F.pmod(F.xxhash64("v"), parts[F.col("list")]).cast("int"))
-    asked_ids = distinct_queries(vectors, every).filter(F.octet_length("v") == 8 * d)
-    asked = staged(asked_ids.select("v").distinct().mapInPandas(probe, "shard int, v binary, lists array<int>"))
+    several = each_id.filter((F.col("d") == d) & (F.col("vec_id") % every == 0)).groupBy("vec_id").count().filter("count > 1")
+    several = several.select(F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("but"))  # text: exact beside nothing
+    asked_ids = distinct_queries(vectors, every).filter(F.octet_length("v") == 8 * d).join(several, "query_id", "left")
+    asked_ids = staged(asked_ids.withColumn("but", F.coalesce("but", F.lit(""))))
+    asked = staged(asked_ids.select("v", "but").distinct().mapInPandas(probe, "shard int, v binary, but string, lists array<int>"))
     blocks = asked.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     listed = listed.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"v": [], "x": [], "score": []})
+            return pd.DataFrame({"v": [], "but": [], "x": [], "n": [], "score": []})
         right = right.sort_values(["list", "v"], ignore_index=True)
         q, z = (np.stack([np.frombuffer(b, np.float64) for b in t["v"]]) for t in (left, right))
-        own, ids = left["v"].to_numpy(), right["ids"].to_numpy()
+        own, but, ids, counts = left["v"].to_numpy(), left["but"].tolist(), right["ids"].to_numpy(), right["counts"].to_numpy()
+        alone = np.array([str(i[0]) if len(i) == 1 else "-" for i in ids], object)  # the id of vectors that have but one
         at = {one: np.asarray(rows) for one, rows in right.groupby("list").indices.items()}
         none = np.empty(0, np.int64)
         mine = [np.concatenate([none, *(at[one] for one in lists if one in at)]) for lists in left["lists"]]
+        mine = [rows[alone[rows] != b] if b else rows for rows, b in zip(mine, but, strict=True)]
         got = scan(q, q @ turn, z, z @ turn, mine, k + 1)
-        rows = [(own[i], ids[r], s) for i, (near, ip) in enumerate(got) for r, s in zip(near.tolist(), ip.tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["v", "x", "score"])
+        rows = [(own[i], but[i], ids[r], counts[r], s) for i, (near, ip) in enumerate(got) for r, s in zip(near.tolist(), ip.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["v", "but", "x", "n", "score"])
 
     keys = ["shard", "block"]
-    found = asked.select(*keys, "v", "lists").groupBy(*keys).cogroup(listed.select(*keys, "list", "v", "ids").groupBy(*keys)).applyInPandas(search, "v binary, x array<long>, score double")
-    best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
-    flat = found.select("v", F.explode("x").alias("vec_id"), "score")
-    flat = flat.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).select("v", "vec_id", "score")
-    each = asked_ids.join(flat, "v").filter("vec_id != query_id")
+    found = asked.select(*keys, "v", "but", "lists").groupBy(*keys).cogroup(listed.select(*keys, "list", "v", "ids", "counts").groupBy(*keys))
+    found = found.applyInPandas(search, "v binary, but string, x array<long>, n array<long>, score double")
+    flat = found.select("v", "but", F.explode(F.arrays_zip(F.col("x").alias("vec_id"), F.col("n").alias("n"))).alias("_x"), "score")
+    flat = flat.select("v", "but", "_x.vec_id", "_x.n", "score").filter(F.col("vec_id").cast("string") != F.col("but"))
+    # entries are different (vector, id); the query's own id is one of them at most, or none where it was passed over: k others stay
+    best = Window.partitionBy("v", "but").orderBy(F.desc("score"), "vec_id")
+    flat = flat.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
+    each = asked_ids.join(flat.drop("_n"), ["v", "but"]).filter("vec_id != query_id")
+    each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     rank = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
     out = each.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -77,3 +77,21 @@ def test_shards_cover_each_list_once():
     used = [s for first, n in place.values() for s in range(first, first + n)]
     assert place[2][1] == 3 and place[0][0] == 0 and sorted(set(used)) == list(range(max(used) + 1))
     assert len([s for s in range(place[2][0], sum(place[2])) if used.count(s) > 1]) == 0
+
+
+def test_repeated_query_ids_have_k_neighbours(spark):
+    """An id on many equal rows, and one on a third of all rows with different vectors: as many rows of other ids as asked for."""
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in r] for r in rng.normal(size=(200, 16)).astype(np.float32)]
+    rows = list(enumerate(x, 1)) + [(1000, [4 * v for v in x[0]])] * 30 + [(20, x[19])] * 2
+    rows += [(2000, [float(3 * a) for a in r]) for r in rng.normal(size=(100, 16)).astype(np.float32)] + [(7, x[30])] * 25
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), probes=10**6).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r)
+        assert r["vec_id"] != r["query_id"]
+    times = {i: sum(j == i for j, _ in rows) for i in by}
+    assert set(by) == {i for i, _ in rows if i % 20 == 0} and all(len(by[i]) == 20 * times[i] for i in by)
+    near = {i: v for i, v in brute(rows).items() if i != 2000}  # of 2000 brute() keeps one of its vectors
+    ok = [sorted((r["vec_id"], round(r["score"], 9)) for r in by[i]) == sorted((j, round(s, 9)) for j, s in near[i] for _ in range(times[i])) for i in near]
+    assert np.mean(ok) > 0.8
