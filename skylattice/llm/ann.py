@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, probes: int = PR
         right = right.sort_values(["list", "v"], ignore_index=True)
         q, z = (np.stack([np.frombuffer(b, np.float64) for b in t["v"]]) for t in (left, right))
         own, but, ids, counts = left["v"].to_numpy(), left["but"].tolist(), right["ids"].to_numpy(), right["counts"].to_numpy()
-        alone = np.array([str(i[0]) if len(i) == 1 else "-" for i in ids], object)  # the id of vectors that have but one
+        alone = np.array([str(i[0]) if len(i) == 1 else "-" for i in ids], object) if any(but) else None  # the id of vectors that have but one
         at = {one: np.asarray(rows) for one, rows in right.groupby("list").indices.items()}
         none = np.empty(0, np.int64)
         mine = [np.concatenate([none, *(at[one] for one in lists if one in at)]) for lists in left["lists"]]
