@@ -19,11 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a test default where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a default if driver and executors are one
+    process, else an error, as a folder of each machine's own would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (found or "/tmp/checkpoints/skylattice").rstrip("/")
 
 
+#: Rows and MB of an Arrow batch at most. Spark's own limits (10,000 rows, 64 MB) let each task of a text operator hold hundreds of MB in
+#: buffers, strings and results on both sides.
+BATCH_ROWS, BATCH_MB = 2000, 4
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to these; they are read when a plan is made, so they stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_MB << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -46,6 +63,7 @@ def staged(df: DataFrame) -> DataFrame:
 def by_document(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
     """docs' doc_id and text through run, whose result has doc_id first. Ids travel as text, since a batch that holds a null would
     turn them into floating-point numbers."""
+    small_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").cast("string"), "text").mapInPandas(run, schema.replace("doc_id long", "doc_id string", 1))
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
