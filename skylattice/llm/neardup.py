@@ -315,20 +315,24 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class (that with the least doc_id and, of these, text hash; documents without an id
-    stay). Of rows that repeat an id and its text one stays."""
+    """docs without all but one document of each class: that with the least doc_id (documents without an id come last) and, of these,
+    the least text hash. Of rows that repeat an id, or none, and its text one stays."""
     known, nodes = _labelled(docs)
-    least = nodes.groupBy("label").agg(F.min("_own").alias("_own")).select("_own.doc_id", "_own.text_hash").filter("doc_id IS NOT NULL")
-    rows = known.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("count"), F.max(F.col("node").isNull()).alias("wordless"))
-    kept = staged(rows.join(least.withColumn("_least", F.lit(True)), ["doc_id", "text_hash"], "left").filter("_least OR wordless").select("doc_id", "text_hash", "count"))
+    least = nodes.groupBy("label").agg(F.min("_own").alias("_own")).select(F.col("_own.doc_id").alias("_id"), F.col("_own.text_hash").alias("_hash"), F.lit(True).alias("_least"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    rows = known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("count"), F.max(F.col("node").isNull()).alias("wordless"))
+    kept = staged(rows.join(least, same, "left").filter("_least OR wordless").select("doc_id", "text_hash", "count"))
     del known, nodes, least, rows
     release(docs.sparkSession)
-    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")]
-    on = lambda some: some.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    told = docs.filter("doc_id IS NOT NULL").select("*", *key)
-    once = told.join(on(kept.filter("count = 1")), ["_id", "_hash"], "left_semi")
-    many = told.join(on(kept.filter("count > 1")), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-    return docs.filter("doc_id IS NULL").unionByName(once.unionByName(many).drop("_id", "_hash"))
+    names = [f"_{c}" for c in ("id", "hash")]
+    while set(names) & set(docs.columns):
+        names = [f"{c}_" for c in names]
+    told = docs.withColumns(dict(zip(names, (F.col("doc_id").cast("long"), F.xxhash64("text")), strict=True)))
+    own = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "count")
+    same = told[names[0]].eqNullSafe(own["_kept_id"]) & (told[names[1]] == own["_kept_hash"])
+    once = told.join(own.filter("count = 1"), same, "left_semi")
+    many = told.join(own.filter("count > 1"), same, "left_semi").dropDuplicates(names)
+    return once.unionByName(many).drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_document, seldom
+from .common import by_document, seldom, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training windows are drawn from, windows of one document, generated windows.
@@ -406,6 +406,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, net: Network) -> DataFrame:
     """docs with all spans replaced in text, and n_chars, where there is such a column, set to the new length."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

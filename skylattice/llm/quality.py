@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, seldom
+from .common import held_out, seldom, small_batches
 from .hashing import IS_SPACE, P, as_bytes, mixed, word_bounds, word_hashes
 
 #: Most labelled documents learnt from; hashed rows for words and for n-grams; vector length; passes.
@@ -112,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs and the score of its text, as a column of that name."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,7 +98,7 @@ def test_only_the_own_row_is_left_out(spark):
 
 
 def test_two_rows_of_one_id_and_a_third(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.6, 0.8])], SCHEMA)
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.6, 0.8])], "vec_id long, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).collect())
     assert got == [(0, 1, 1, 0.6), (0, 1, 1, 0.8), (0, 2, 0, 0.0), (0, 2, 0, 0.0)]
 

@@ -145,7 +145,7 @@ def test_many_texts_under_one_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r["doc_id"], r["class_id"]) for r in neardup.classes(df).collect()} == {(7, 7), (None, 7)}
     none = df.filter("doc_id IS NULL")
-    assert {r["class_id"] for r in neardup.classes(none).collect()} == {None} and neardup.one_of_each(none).count() == 80
+    assert {r["class_id"] for r in neardup.classes(none).collect()} == {None} and neardup.one_of_each(none).count() == 40
 
 
 def got_and_wanted(spark, texts):
@@ -206,3 +206,14 @@ def test_one_of_each_text_where_ids_repeat(spark):
     assert [t for i, t in kept if i == 5] == sorted(["", " ", prose(101, 60)]) and [t for i, t in kept if i == 8] == [""]
     sevens = [t for i, t in kept if i == 7]
     assert len(sevens) == 20 and {t.removesuffix(" end") for t in sevens} == {prose(k, 60) for k in range(20)}
+
+
+def test_rows_without_an_id_are_of_their_class(spark):
+    """Equal rows without an id leave one; a copy of a text that has an id goes; unrelated texts of one id, or of none, stay."""
+    a, b, c, d = (prose(k, 50) for k in (1, 2, 3, 4))
+    rows = [(7, a, 1), (7, b, 1), (9, c, 1), (3, a + " end", 1), (None, d, 1), *[(None, d, 1)] * 4, (None, b, 1), (None, None, 1), (None, None, 1), (2, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect()), key=str)
+    assert got == sorted([(7, b), (9, c), (3, a + " end"), (None, d), (None, None), (2, None)], key=str)
+    labels = [r["class_label"] for r in neardup.classes(df).collect()]
+    assert len(labels) == len(rows) and len(set(labels)) == 6
