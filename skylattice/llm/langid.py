@@ -4,7 +4,7 @@ Each language gets a codeword; one binary classifier on hashed character n-grams
 decoded to the language with the least loss, each bit weighing as its classifier does on the texts it learnt from. A small
 lead over the second language is flagged as ambiguous.
 
-Defined cases. Null text, or text without a letter: `und`, score 0, not ambiguous. No labelled document at all: every text is
+Defined cases. Columns besides doc_id, text and lang, whatever their names, aren't read. Null text, or text without a letter: `und`, score 0, not ambiguous. No labelled document at all: every text is
 `und`, score 0. A single language: it is always predicted, with the score of its one bit. Null lang: never learnt from.
 Null doc_id: in the held-out fold (crc32 of the empty text is 0). Repeated rows: each is scored. An empty table gives an
 empty result. Texts of any length are read whole.
@@ -24,8 +24,8 @@ from .common import by_document, held_out, seldom
 
 #: Most documents of a language that the classifiers learn from, and the number of hashed n-gram features.
 SAMPLE_DOCS, FEATURES = 400, 4096
-#: Most documents learnt from in all; so many ids are sent to every executor.
-MOST_DOCS = 25_600
+#: Most documents learnt from in all (so many ids are sent to every executor) and most languages, the commonest ones.
+MOST_DOCS, MOST_LANGS = 25_600, 256
 AMBIGUOUS = 0.6
 _letters: list[np.ndarray] = []
 
@@ -45,7 +45,7 @@ def features(text: str | None) -> np.ndarray | None:
     if not is_letter.any():
         return None
     x = np.where(is_letter, x, np.uint32(0))
-    x = np.concatenate([np.zeros(1, np.uint32), x[is_letter | np.append(is_letter[:-1], False) | np.append(False, is_letter[:-1])], np.zeros(1, np.uint32)])
+    x = np.concatenate([np.zeros(1, np.uint32), x[is_letter | np.append(False, is_letter[:-1])], np.zeros(1, np.uint32)])
     shift = np.uint32(32 - FEATURES.bit_length() + 1)
     two = x[:-1] * np.uint32(0x9E3779B1) + x[1:]
     three = two[:-1] * np.uint32(0x85EBCA77) + x[2:]
@@ -118,8 +118,16 @@ def fit(x: np.ndarray, lang: list[str], steps: int = 80, rate: float = 0.3) -> M
 def train(docs: DataFrame) -> Model | None:
     """From the SAMPLE_DOCS documents of each language, outside the held-out fold, whose hashed ids come first."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id").distinct().limit(MOST_DOCS)
+    langs = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGS).collect()
+    if not langs:
+        return None
+    # A share of the hash values that holds half as many ids again as are wanted: so few rows are ranked by language.
+    each = min(SAMPLE_DOCS, MOST_DOCS // len(langs))
+    share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, (1.5 * each + 100) / max(1, r["n"])))])[F.col("lang")]
+    hashed = F.xxhash64("doc_id")
+    few = known.filter(F.pmod(hashed, F.lit(1 << 40)) < share * (1 << 40)).select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.pmod(hashed, F.lit(1 << 40)), "doc_id")
+    chosen = few.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each).select("doc_id").distinct()
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(seldom(known, chosen)), "doc_id")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

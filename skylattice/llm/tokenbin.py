@@ -6,7 +6,7 @@ package-merge, so no code is longer than MAX_BITS and one table lookup decodes a
 runs through all blocks of a file in step. Files travel as rows of a table in the shared folder, so that Spark's
 writers commit them whole and a lost executor costs a task, not a file.
 
-Defined cases. Null text: empty, so the end id alone. Null doc_id: first in order. Repeated rows: each is stored; equal ids
+Defined cases. Columns besides doc_id and text, whatever their names, aren't read. A vocabulary of over 65,536 ids is refused. Null text: empty, so the end id alone. Null doc_id: first in order. Repeated rows: each is stored; equal ids
 are ordered by length, then checksum. An empty table gives no files and an empty result.
 """
 
@@ -27,6 +27,8 @@ from .tokens import WordLevel, encoder
 
 END_ID, MAX_BITS, BLOCK = 2, 16, 1024
 FILE_IDS, PART_IDS = 1 << 20, 1 << 22
+#: Parts whose sums are ordered together.
+GROUP = 1024
 MAGIC = b"SKYHUF01"
 HEAD = struct.Struct("<8sIIQQII")
 
@@ -149,6 +151,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(WordLevel, path)
+        if max(coder.size, end_id + 1) > 1 << 16:
+            raise ValueError(f"{path} has {coder.size} ids; these files hold ids of 16 bits")
         for pdf in batches:
             ids = [np.append(coder.ids(t), np.array([end_id], "<u4")).astype("<u2") for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]})
@@ -200,6 +204,19 @@ def write_files(tokens: DataFrame) -> DataFrame:
     return staged(ordered.mapInPandas(encode, "part int, seq int, n_ids long, file binary"))
 
 
+def before_each(files: DataFrame) -> DataFrame:
+    """part, seq and base, the ids of all files before. Sums go by part and by GROUP parts, so that what one task orders is no more than the
+    files of a part, GROUP parts, or the groups."""
+    ahead = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    group = F.floor(F.col("part") / GROUP).alias("group")
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(group, "part", "n")
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n")).select("group", upto("n", ahead("group")).alias("_g"))
+    parts = parts.select("group", "part", upto("n", ahead("group", "part")).alias("_p")).join(groups, "group")
+    each = files.select("part", "seq", upto("n_ids", ahead("part", "seq")).alias("_s"))
+    return each.join(parts, "part").select("part", "seq", (F.col("_g") + F.col("_p") + F.col("_s")).alias("base"))
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """Each document of the files with start (ids before it in all files), n_tokens and ids_crc32."""
 
@@ -210,8 +227,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 n = np.array([len(x) for x in ids], np.int64)
                 yield pd.DataFrame({"part": part, "seq": seq, "doc_id": pd.array(names, "Int64"), "at": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]})
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
-    base = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    base = before_each(files.select("part", "seq", "n_ids"))
     docs = files.select("part", "seq", "file").mapInPandas(decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -3,6 +3,11 @@
 The `tokenizers` library defines the ids. Its files are byte-pair vocabularies, and a second engine, tiktoken, merges
 pairs several times faster from the same merges. So a text goes to tiktoken when it lies in the range where both are
 known to agree (see each class), and to the library when not. Tests compare the two on both sides of that line.
+
+tiktoken joins any neighbours whose joining is a token, the library only listed pairs. Both do the same if ids rise with the order of
+merges and each merged token, taken alone, is merged to itself (agrees() checks both for every token): what happens within a stretch
+of a text doesn't depend on what is around it until something is joined across its ends, so the two halves of a token that stand
+side by side are those that its own merging passes through. A vocabulary that fails the check goes to the library alone.
 """
 
 from __future__ import annotations
@@ -30,6 +35,17 @@ def _pairs(spec: dict) -> list[tuple[str, str]]:
     return [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
 
 
+def agrees(tokens: dict[str, int], merges: list[tuple[str, str]]) -> bool:
+    """Whether ids of merged tokens rise with the merges, and each of them is what its own symbols are merged to."""
+    from tokenizers import Tokenizer, models
+
+    names = [a + b for a, b in merges]
+    if any(tokens[x] >= tokens[y] for x, y in zip(names, names[1:], strict=False)):
+        return False
+    alone = Tokenizer(models.BPE(vocab=tokens, merges=merges))
+    return all(e.ids == [tokens[t]] for at in range(0, len(names), 2000) for t, e in zip(names[at : at + 2000], alone.encode_batch(names[at : at + 2000]), strict=True))
+
+
 class ByteLevel:
     """Byte-level vocabularies whose ids of merges follow the merges' order. tiktoken takes texts up to U+024F without
     special strings."""
@@ -45,8 +61,8 @@ class ByteLevel:
         vocab = spec["model"]["vocab"]
         special = {x["content"] for x in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
-        order = [vocab[a + b] for a, b in _pairs(spec)]
-        self.ok = all(x < y for x, y in zip(order, order[1:], strict=False))
+        self.size = self.library.get_vocab_size()
+        self.ok = agrees({t: i for t, i in vocab.items() if t not in special}, _pairs(spec))
         # The pattern of the byte-level pre-tokenizer (fixed value).
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -100,7 +116,9 @@ class WordLevel:
             elif key not in ranks:
                 ranks[key] = len(owner)
                 owner.append(vocab[token])
-        self.owner = np.array(owner, np.int64)
+        self.owner, self.size = np.array(owner, np.int64), self.library.get_vocab_size()
+        named = {t: i for i, t in enumerate(dict.fromkeys([*base, *map(told, merged)]))}
+        self.ok = agrees(named, [(told(a), told(b)) for a, b in _pairs(spec)])
         self.fast = tiktoken.Encoding("word_level", pat_str="[^Ȁ-˿]*[Ȁ-˿]", mergeable_ranks=ranks, special_tokens={})
         import regex
 
@@ -133,7 +151,7 @@ class WordLevel:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        symbols = self._symbols(text)
+        symbols = self._symbols(text) if self.ok else None
         if symbols is not None:
             return self.owner[np.asarray(self.fast.encode_ordinary(symbols), np.int64)].astype("<u4")
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")

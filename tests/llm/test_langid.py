@@ -59,3 +59,58 @@ def test_lang_of_scored_documents_is_not_read(spark):
     docs = corpus(spark)
     m = langid.train(docs)
     assert sorted(map(tuple, langid.identify(docs, m).collect())) == sorted(map(tuple, langid.identify(docs.drop("lang"), m).collect()))
+
+
+def plain_features(text):
+    """n-grams of 1 to 3 letters one by one; what isn't a letter is 0, and of a run of those only the first after a letter stays."""
+    shown = [ord(c) if c.isalpha() else 0 for c in text.lower()]
+    shown = [0, *(x for i, x in enumerate(shown) if x or (i and shown[i - 1])), 0]
+    out = np.zeros(langid.FEATURES)
+    for n in (1, 2, 3):
+        for i in range(len(shown) - n + 1):
+            h = shown[i]
+            for c, odd in zip(shown[i + 1 : i + n], (0x9E3779B1, 0x85EBCA77), strict=False):
+                h = (h * odd + c) % 2**32
+            out[(h * 0xC2B2AE3D % 2**32) * langid.FEATURES // 2**32] += 1
+    out = np.sqrt(out)
+    return out / np.sqrt((out**2).sum())
+
+
+def test_features_equal_plain_ones():
+    for text in ("a", "Ab, c", "ünd 12 über!!", prose(1, 50), "  x  "):
+        assert np.allclose(langid.features(text), plain_features(text), atol=1e-6)
+    assert langid.features("12 !") is None
+
+
+def test_decoding_and_gradient_equal_plain_ones(spark):
+    docs = corpus(spark, 10).toPandas()
+    x = np.stack([langid.features(t) for t in docs["text"]])
+    m = langid.fit(x, list(docs["lang"]), steps=30)
+    best, score, unsure = m.predict(x)
+    for i, row in enumerate(x.astype(np.float64)):
+        margin = [row @ m.weights[:-1, b] + m.weights[-1, b] for b in range(m.code.shape[1])]
+        d = [np.mean([m.trust[b] * np.log1p(np.exp(-margin[b] * m.code[k, b])) for b in range(len(margin))]) for k in range(3)]
+        p = np.exp(-len(margin) * (np.array(d) - min(d)))
+        assert int(np.argmin(d)) == best[i] and abs(p[best[i]] / p.sum() - score[i]) < 1e-3 and unsure[i] == (score[i] < langid.AMBIGUOUS)
+    # the first step goes against the sign of each weight's slope, taken by differences
+    one, y = langid.fit(x, list(docs["lang"]), steps=1), langid.codewords(3)[[sorted(ALPHABETS).index(v) for v in docs["lang"]]]
+    for f, b in [(int(np.argmax(x[0])), 0), (int(np.argmax(x[25])), 1), (int(np.argmax(x[15])), 2)]:
+        loss = lambda w: np.log1p(np.exp(-y[:, b] * x[:, f] * w)).mean()  # noqa: E731, B023
+        slope = (loss(1e-3) - loss(-1e-3)) / 2e-3
+        assert abs(slope) < 1e-9 or np.sign(one.weights[f, b]) == -np.sign(slope)
+
+
+def test_a_sample_of_a_hot_language_is_the_least_hashed_ids(spark):
+    """The threshold on hashes takes the same ids as ranking all would, also where one id is on most rows."""
+    from pyspark.sql import functions as F
+
+    known = spark.range(9000).selectExpr("id as doc_id", "'word' as text", "if(id % 50 = 0, 'bb', 'aa') as lang").unionAll(spark.range(5000).selectExpr("7L", "'hot'", "'aa'"))
+    seen = []
+    fit, langid.fit = langid.fit, lambda x, lang: seen.append(len(lang)) or None
+    try:
+        langid.train(known)
+    finally:
+        langid.fit = fit
+    inside = known.filter(~held_out(F.col("doc_id")))
+    n = {r["lang"]: r["n"] for r in inside.groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert seen[0] in {min(400, n["aa"]) + n["bb"] - i for i in (0, 1)}  # the hot id isn't learnt from

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skylattice.llm import pii
+from tests.compare import SMALL
 
 # The base patterns as told (fixed values); the module finds the same matches in linear time.
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -62,6 +64,18 @@ def test_best_path_is_the_best():
     assert np.isclose(score(n.decode(e)), best)
 
 
+def test_posterior_sums_all_paths():
+    n = pii.Network.new()
+    rng = np.random.default_rng(2)
+    n.p["step"], n.p["first"] = rng.normal(size=(9, 9)), rng.normal(size=9)
+    e = rng.normal(size=(4, 9))
+    want = np.zeros((4, 9))
+    for p in np.ndindex(9, 9, 9, 9):
+        w = np.exp(n.p["first"][p[0]] + sum(e[i, t] for i, t in enumerate(p)) + sum(n.p["step"][a, b] for a, b in zip(p, p[1:], strict=False)))
+        want[np.arange(4), p] += w
+    assert np.allclose(n.posterior(e), want / want[0].sum())
+
+
 @pytest.fixture(scope="module")
 def net(spark, odd_docs):
     return pii.train(odd_docs)
@@ -71,7 +85,7 @@ def test_held_out_windows(net):
     x, y = pii.generated(300, seed=1234)
     e = net.emit(x)
     right = np.mean([(net.decode(e[i]) == y[i]).mean() for i in range(len(x))])
-    assert right > 0.93
+    assert right > 0.98
 
 
 def test_added_spans_are_valid_and_apart(net):
@@ -83,6 +97,32 @@ def test_added_spans_are_valid_and_apart(net):
     assert pii.find(net, texts)[1] == ([], []) and pii.find(net, texts)[2] == ([], [])
 
 
+def test_planted_forms_that_the_patterns_miss(spark, net):
+    """Numbers side by side, whose match fails as a whole, and national phone numbers, in whole real texts: most are found, little else is."""
+    r = random.Random(5)
+    texts = [t for (t,) in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect() if t]
+    digits = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
+
+    def card():
+        body = str(r.randint(3, 6)) + digits(14)
+        return next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+
+    forms = (lambda: [f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", card()], lambda: [card(), f"({digits(3)}) {digits(3)}-{digits(4)}"], lambda: [f"{digits(3)}-{digits(3)}-{digits(4)}"], lambda: [f"+44 {digits(3)} {digits(7)}", card()])
+    planted = []
+    for i in range(400):
+        text, parts = texts[i % len(texts)], forms[i % 4]()
+        at = r.randrange(len(text) + 1)
+        at = next((k for k in range(at, len(text)) if text[k].isspace()), len(text))
+        starts = [at + 1, at + 2 + len(parts[0])]
+        spans = {(s, s + len(one)) for s, one in zip(starts, parts, strict=False)}
+        planted.append((text[:at] + " " + " ".join(parts) + " " + text[at:], spans))
+    missed = hits = added = wrong = 0
+    for (_, spans), (base, more) in zip(planted, pii.find(net, [t for t, _ in planted]), strict=True):
+        due, have = spans - {(s, e) for _, s, e in base}, {(s, e) for _, s, e in more}
+        missed, hits, added, wrong = missed + len(due), hits + len(due & have), added + len(have), wrong + len(have - spans)
+    assert missed > 500 and hits / missed > 0.7 and 1 - wrong / added >= 0.95
+
+
 def test_long_stretch_is_decoded_whole(net):
     text = "1 " * 3000 + "me@mail.example.com"
     base, more = pii.find(net, [text])[0]
@@ -96,6 +136,7 @@ def test_odd_documents(spark, odd_docs, no_docs, net):
         r = got[doc, hashlib.sha256(pii.told(base).encode()).hexdigest()]
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == i for k, _, _ in base) for i in range(4))
         assert set(pii.told(base).split(",")) <= set(r["spans"].split(","))
+        assert r["n_spans"] == len([x for x in r["spans"].split(",") if x])
     assert pii.search(no_docs, pii.train(no_docs)).count() == 0
 
 

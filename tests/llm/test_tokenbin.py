@@ -76,3 +76,15 @@ def test_odd_documents(spark, odd_docs, no_docs, monkeypatch):
     again = tokenbin.read_files(tokenbin.write_files(staged(tokenbin.tokenized(odd_docs, PATH)))).orderBy("start").collect()
     assert [r["doc_id"] for r in again] == [d for d, _ in docs]
     assert tokenbin.read_files(tokenbin.write_files(staged(tokenbin.tokenized(no_docs, PATH)))).count() == 0
+
+
+def test_ids_before_each_file(spark, monkeypatch):
+    monkeypatch.setattr(tokenbin, "GROUP", 3)
+    rows = [(p, s, (p * 7 + s * 3) % 11 + 1) for p in range(20) if p != 4 for s in range(p % 4 + 1)]
+    got = {(r["part"], r["seq"]): r["base"] for r in tokenbin.before_each(spark.createDataFrame(rows, "part int, seq int, n_ids long")).collect()}
+    assert got == {(p, s): sum(n for q, t, n in rows if (q, t) < (p, s)) for p, s, _ in rows}
+
+
+def test_wide_vocabularies_are_refused(spark):
+    with pytest.raises(Exception, match="16 bits"):
+        tokenbin.tokenized(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH, end_id=70_000).collect()
