@@ -100,7 +100,10 @@ class Filter:
         a, qa = d @ x, d @ q @ d.T
         try:
             best, s = ambiguity.resolve(a, (qa + qa.T) / 2)
-        except (np.linalg.LinAlgError, RuntimeError):
+        except np.linalg.LinAlgError:
+            self.fixed = None
+            return "float"
+        if len(s) < 2:  # the search took too long
             self.fixed = None
             return "float"
         self.ratio = float(s[1] / s[0]) if s[0] > 0 else 999.9

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def _cells(xyz: tuple[str, str, str], size: float) -> list[Column]:
     return [F.floor(F.col(c) / size).cast("long").alias(f"_c{i}") for i, c in enumerate(xyz)]
@@ -23,19 +25,20 @@ def radius_pairs(left: DataFrame, right: DataFrame, lx: tuple[str, str, str], rx
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, lx: tuple[str, str, str], rx: tuple[str, str, str], k: int, radius: float, longest: float) -> DataFrame:
-    """The k nearest rows of right for each row of left, ties to the smaller rid. Rows that find fewer than k within the radius
-    look again within twice the radius, up to `longest`."""
+    """The k nearest rows of right for each row of left (by `key`, which must be unique), ties to the smaller rid. Rows that find fewer
+    than k within the radius look again within twice the radius, up to `longest`. Each round is written, so that the next one starts
+    from the rows that are left and doesn't compute the former ones again."""
     out, todo = None, left
     while True:
         pairs = radius_pairs(todo, right, lx, rx, radius)
         w = Window.partitionBy(key).orderBy("d2", rid)
-        best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        done = best.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select(key) if radius < longest else todo.select(key)
-        got = best.join(done, key, "left_semi")
+        best = staged(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+        done = best.filter(F.col("rank") == k).select(key) if radius < longest else todo.select(key)
+        got = best.join(done, key, "left_semi") if radius < longest else best
         out = got if out is None else out.unionByName(got)
         if radius >= longest:
             return out
-        todo, radius = todo.join(done, key, "left_anti"), radius * 2
+        todo, radius = staged(todo.join(done, key, "left_anti")), radius * 2
         if todo.limit(1).count() == 0:
             return out
 
@@ -53,11 +56,13 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, order: str) -> DataFrame:
-    """points with the first polygon (by order) that holds each. polygons: ring and other columns; joined by cells of one unit of
-    x that a ring covers, so no pair is made that can't match."""
+    """points with the first polygon (by order, then its other columns) that holds each. polygons: ring and other columns. A cell of one
+    unit of x has the list of the polygons that reach into it, so one row comes out for each point, and repeated points stay."""
     low, high = (F.floor(f(F.transform("ring", lambda p: p["x"]))).cast("long") for f in (F.array_min, F.array_max))
-    p = polygons.withColumn("_cell", F.explode(F.sequence(low, high)))
-    got = points.withColumn("_cell", F.floor(F.col(x)).cast("long")).join(p, "_cell").filter(inside(F.col(x), F.col(y), F.col("ring")))
     kept = [c for c in polygons.columns if c != "ring"]
-    best = got.groupBy(*points.columns).agg(F.min_by(F.struct(*kept), order).alias("_best"))
-    return best.select(*points.columns, *[F.col(f"_best.{c}").alias(c) for c in kept])
+    row = F.struct(order, *[c for c in kept if c != order], "ring")
+    p = polygons.withColumn("_cell", F.explode(F.sequence(low, high))).groupBy("_cell").agg(F.collect_list(row).alias("_some"))
+    got = points.withColumn("_cell", F.floor(F.col(x)).cast("long")).join(p, "_cell")
+    best = F.array_min(F.filter("_some", lambda r: inside(F.col(x), F.col(y), r["ring"])))
+    got = got.select(*points.columns, best.alias("_best")).filter(F.col("_best").isNotNull())
+    return got.select(*points.columns, *[F.col(f"_best.{c}").alias(c) for c in kept])

@@ -59,7 +59,7 @@ def orbit_file(spark, sf_dir) -> DataFrame:
 
 
 @register("b07_agent_service", f"""WITH RECURSIVE {STA}, {VSTA}, d AS (SELECT v.id AS vid, s.id, (v.x - s.x) * (v.x - s.x) + (v.y - s.y) * (v.y - s.y) + (v.z - s.z) * (v.z - s.z) AS d2 FROM vsta v JOIN customer c ON c.c_custkey = v.id AND c.c_acctbal > 0, sta s),
-m AS (SELECT vid, id AS mountpoint FROM d QUALIFY row_number() OVER (PARTITION BY vid ORDER BY d2, id) = 1), s AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id % 50 = 0),
+m AS (SELECT vid, id AS mountpoint FROM d QUALIFY row_number() OVER (PARTITION BY vid ORDER BY d2, id) = 1), s AS (SELECT user_id, epoch_us(ts) / 1e6 AS t FROM events),
 r AS (SELECT user_id, min(t) AS t FROM s GROUP BY 1 UNION ALL SELECT r.user_id, (SELECT min(s.t) FROM s WHERE s.user_id = r.user_id AND s.t - r.t >= 600) FROM r WHERE r.t IS NOT NULL)
 SELECT m.vid, m.mountpoint, count(r.t) AS n_sent FROM m LEFT JOIN r ON r.user_id = m.vid GROUP BY 1, 2""")
 def agent_service(spark, sf_dir) -> DataFrame:
@@ -67,7 +67,7 @@ def agent_service(spark, sf_dir) -> DataFrame:
     ok = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("vid"))
     v = vsta(spark, sf_dir).select(F.col("id").alias("vid"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz")).join(ok, "vid", "left_semi")
     near = spatial.nearest(v, sta(spark, sf_dir).select("id", "x", "y", "z"), "vid", "id", ("vx", "vy", "vz"), ("x", "y", "z"), 1, 40_000.0, 2_000_000.0).select("vid", F.col("id").alias("mountpoint"))
-    e = table(spark, sf_dir, "events").filter("user_id % 50 = 0").select(F.col("user_id").alias("vid"), (F.expr("unix_micros(cast(ts as timestamp))") / 1e6).alias("t")).distinct()
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("vid"), (F.expr("unix_micros(cast(ts as timestamp))") / 1e6).alias("t")).distinct()
     sent = processors.throttled(e, "vid", "t", 600.0).groupBy("vid").agg(F.count("*").alias("n"))
     return near.join(sent, "vid", "left").select("vid", "mountpoint", F.coalesce("n", F.lit(0)).alias("n_sent"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import observations as ob
 from ..operators import spatial, timejoin
+from ..operators.staging import staged
 from .registry import register
 from .surrogate import EPH, OBS, STA, VSTA, eph, obs, req, sta, table, vsta
 
@@ -139,15 +140,14 @@ e AS (SELECT tri, x0, unnest([[0, 29e0, 1.6e0, 29e0], [1.6e0, 29e0, 0.8e0, 32e0]
 c AS (SELECT id, tri, count(*) FILTER ((e[2] > lat) <> (e[4] > lat) AND lon < (e[3] - e[1]) * (lat - e[2]) / (e[4] - e[2]) + x0 + e[1]) AS n, min((lon - x0 - 0.8e0) * (lon - x0 - 0.8e0) + (lat - 30e0) * (lat - 30e0)) AS d2 FROM vsta, e GROUP BY 1, 2)
 SELECT id, tri, n % 2 = 1 AS inside FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n % 2 DESC, CASE WHEN n % 2 = 1 THEN 0 ELSE d2 END, tri) = 1""")
 def containing_triangle(spark, sf_dir) -> DataFrame:
-    """The first triangle that holds each virtual station, else the one with the nearest centre. Triangles are few (one for each
-    region here; twice the stations in a network) and sent to all executors while under a row limit."""
+    """The first triangle that holds each virtual station, else the one with the nearest centre."""
     v = vsta(spark, sf_dir).select("id", "lon", "lat")
     x0 = 105e0 + 0.8 * F.col("r_regionkey")
     at = lambda dx, y: F.struct((x0 + dx).alias("x"), F.lit(y).alias("y"))
     t = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("tri"), F.array(at(0.0, 29.0), at(1.6, 29.0), at(0.8, 32.0)).alias("ring"), (x0 + 0.8).alias("cx"))
     cells = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    held = spatial.in_polygons(v, t.select("tri", "ring"), "lon", "lat", "tri").select("id", "tri", F.lit(True).alias("inside"))
-    rest = v.join(held, "id", "left_anti")
+    held = staged(spatial.in_polygons(v, t.select("tri", "ring"), "lon", "lat", "tri").select("id", "tri", F.lit(True).alias("inside")))
+    rest = staged(v.join(held, "id", "left_anti"))
     by = {}
     width = 4.0
     while True:  # centres within a growing distance of the longitude
@@ -155,19 +155,23 @@ def containing_triangle(spark, sf_dir) -> DataFrame:
         near = rest.withColumn("_c", F.floor(F.col("lon") / width).cast("long")).join(c, "_c")
         d2 = (F.col("lon") - F.col("cx")) * (F.col("lon") - F.col("cx")) + (F.col("lat") - 30.0) * (F.col("lat") - 30.0)
         got = near.withColumn("d2", d2).filter(F.col("d2") <= width * width).groupBy("id").agg(F.min_by("tri", F.struct("d2", "tri")).alias("tri"), F.lit(False).alias("inside"))
-        by[width] = got
+        by[width] = got = staged(got)
         if width >= 360 or rest.join(got, "id", "left_anti").limit(1).count() == 0:
             break
         width *= 2
     return held.unionByName(by[width])
 
 
-@register("c14_master_station", f"""WITH {STA}, {VSTA}, n AS (SELECT v.id AS vid, s.id, {D2} AS d2 FROM vsta v JOIN sta s ON s.id % 5 = v.id % 5)
+@register("c14_master_station", f"""WITH {STA}, {VSTA}, c AS (SELECT max(s_suppkey) AS last FROM supplier), t AS (SELECT v.*, unnest([1, 7, 19]) AS step FROM vsta v),
+n AS (SELECT v.id AS vid, s.id, {D2} AS d2 FROM t v, c JOIN sta s ON s.id = v.id * v.step % last + 1)
 SELECT vid, id AS master, round(sqrt(d2), 4) AS distance FROM n QUALIFY row_number() OVER (PARTITION BY vid ORDER BY d2, id) = 1""")
 def master_station(spark, sf_dir) -> DataFrame:
+    """The nearest of the three stations of each virtual station's triangle; three rows are joined for each."""
     v, s = _vs(spark, sf_dir)
+    last = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).head()[0] or 0
     d2 = (F.col("vx") - F.col("x")) * (F.col("vx") - F.col("x")) + (F.col("vy") - F.col("y")) * (F.col("vy") - F.col("y")) + (F.col("vz") - F.col("z")) * (F.col("vz") - F.col("z"))
-    j = v.withColumn("_k", F.col("vid") % 5).join(s.withColumn("_k", F.col("id") % 5), "_k").withColumn("d2", d2)
+    corner = F.explode(F.array(*[(F.col("vid") * k % max(last, 1) + 1).cast("long") for k in (1, 7, 19)]))
+    j = v.withColumn("_corner", corner).join(s, F.col("_corner") == F.col("id")).withColumn("d2", d2)
     best = j.groupBy("vid").agg(F.min(F.struct("d2", "id")).alias("_b"))
     return best.select("vid", F.col("_b.id").alias("master"), F.round(F.sqrt("_b.d2"), 4).alias("distance"))
 
@@ -208,10 +212,10 @@ def bracket_interpolation(spark, sf_dir) -> DataFrame:
     return timejoin.interpolated(req(spark, sf_dir), m, ["sat"], "t", "toe", ["v"], WEEK).select("sat", "t", F.round("v", 4).alias("v"))
 
 
-@register("c18_validity_interval", f"""WITH {EPH}, pcv AS (SELECT sat, toe AS ts, toe + 2592000 AS te, iode AS ord FROM eph WHERE iode % 4 = 0)
+@register("c18_validity_interval", f"""WITH {EPH}, pcv AS (SELECT sat, toe AS ts, toe + 2592000 AS te, iode AS ord FROM eph)
 SELECT r.sat, r.t, p.ts, p.te, p.ord FROM req r JOIN pcv p ON p.sat = r.sat AND r.t >= p.ts AND r.t <= p.te QUALIFY row_number() OVER (PARTITION BY r.sat, r.t ORDER BY p.ord) = 1""")
 def validity_interval(spark, sf_dir) -> DataFrame:
-    pcv = eph(spark, sf_dir).filter("iode % 4 = 0").select("sat", F.col("toe").alias("ts"), (F.col("toe") + 2592000).alias("te"), F.col("iode").alias("ord"))
+    pcv = eph(spark, sf_dir).select("sat", F.col("toe").alias("ts"), (F.col("toe") + 2592000).alias("te"), F.col("iode").alias("ord"))
     return timejoin.valid_at(req(spark, sf_dir), pcv, ["sat"], "t", "ts", "te", "ord", 2592000)
 
 

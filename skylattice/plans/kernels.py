@@ -100,7 +100,7 @@ def integer_search(spark, sf_dir) -> DataFrame:
                 n = np.array([i % 11 - 5, i % 7 - 3, i % 13 - 6, i % 5], float)
                 noise = np.random.default_rng(int(i)).uniform(-0.2, 0.2, 4)
                 best, _ = ambiguity.resolve(n + np.linalg.cholesky(q) @ noise, q)
-                rows.append((i, *best[0].astype(int)))
+                rows.append((i, *(best[0].astype(int).tolist() if len(best) else [None] * 4)))
             yield pd.DataFrame(rows, columns=["id", "n0", "n1", "n2", "n3"])
 
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).mapInPandas(solve, "id long, n0 long, n1 long, n2 long, n3 long")

@@ -30,20 +30,21 @@ def signal_frequency(spark, sf_dir) -> DataFrame:
     return c.select("p_partkey", "sys", "code", codes.frequency(F.col("sys"), F.col("code"), F.col("ch")).alias("hz"))
 
 
-@register("g02_code_priority", "WITH c AS (SELECT p_partkey, p_brand, substr(p_name, 1, 1) AS code FROM part) SELECT p_brand, min(instr('zyxwvutsrqponmlkjihgfedcba', code)) AS best, arg_min(code, instr('zyxwvutsrqponmlkjihgfedcba', code)) AS code FROM c GROUP BY p_brand")
+@register("g02_code_priority", "WITH c AS (SELECT p_partkey, p_brand, substr('abcdefghijklmnopqrstuvwxyz', CAST(p_size % 26 AS INT) + 1, 1) AS code FROM part) SELECT p_brand, min(instr('zyxwvutsrqponmlkjihgfedcba', code)) AS best, arg_min(code, instr('zyxwvutsrqponmlkjihgfedcba', code)) AS code FROM c GROUP BY p_brand")
 def code_priority(spark, sf_dir) -> DataFrame:
     """The signal of each band that stands first in a priority string."""
-    code = F.substring("p_name", 1, 1)
+    code = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.col("p_size").cast("int") % 26 + 1, F.lit(1))
     x = table(spark, sf_dir, "part").select("p_brand", code.alias("code"), F.instr(F.lit("zyxwvutsrqponmlkjihgfedcba"), code).cast("long").alias("at"))
     return x.groupBy("p_brand").agg(F.min("at").alias("best"), F.min_by("code", "at").alias("code"))
 
 
-@register("g04_bit_fields", """WITH b AS (SELECT doc_id, hex(encode(substr(text, 1, 12))) AS h FROM documents), v AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS w FROM b WHERE length(h) >= 8)
-SELECT doc_id, (w >> 20) & 4095 AS u12, CASE WHEN (w >> 10) & 1023 >= 512 THEN ((w >> 10) & 1023) - 1024 ELSE (w >> 10) & 1023 END AS s10, CASE WHEN (w >> 9) & 1 = 1 THEN -(w & 511) ELSE w & 511 END AS m10 FROM v""")
+@register("g04_bit_fields", """WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), v AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS z, CAST('0x' || right(h, 8) AS BIGINT) AS w FROM b WHERE length(h) >= 8)
+SELECT doc_id, (z >> 20) & 4095 AS u12, CASE WHEN (w >> 10) & 1023 >= 512 THEN ((w >> 10) & 1023) - 1024 ELSE (w >> 10) & 1023 END AS s10, CASE WHEN (w >> 9) & 1 = 1 THEN -(w & 511) ELSE w & 511 END AS m10 FROM v""")
 def bit_fields(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 12), "utf-8").alias("b")).filter(F.octet_length("b") >= 4)
-    b = F.col("b")
-    return d.select("doc_id", bits.unsigned(b, 0, 12).alias("u12"), bits.signed(b, 12, 10).alias("s10"), bits.sign_magnitude(b, 22, 10).alias("m10"))
+    """Fields of each text's first and last four bytes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("b")).filter(F.octet_length("b") >= 4)
+    b, last = F.col("b"), F.substring("b", -4, 4)
+    return d.select("doc_id", bits.unsigned(b, 0, 12).alias("u12"), bits.signed(last, 12, 10).alias("s10"), bits.sign_magnitude(last, 22, 10).alias("m10"))
 
 
 CRC24_SQL = "list_reduce(list_concat([CAST(0 AS BIGINT)], bytes), lambda crc, b: list_reduce(list_concat([xor(crc, b << 16)], CAST(range(8) AS BIGINT[])), lambda v, i: CASE WHEN (v << 1) & 16777216 <> 0 THEN xor(v << 1, 25578747) ELSE v << 1 END))"

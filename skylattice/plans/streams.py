@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_dir
 from ..streaming import processors
 from .registry import register
 from .surrogate import series, table
 
 
 def _scratch(spark) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/skylattice").rstrip("/")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir) -> DataFrame:

@@ -40,9 +40,9 @@ def _placed(df: DataFrame, key: str, a: int, b: int, height: str) -> DataFrame:
     return x.withColumns(dict(zip("xyz", geodesy.ecef(F.radians("lat"), F.radians("lon"), F.col("h")), strict=True)))
 
 
-def _placed_sql(name: str, source: str, key: str, a: int, b: int, height: str, where: str = "") -> str:
+def _placed_sql(name: str, source: str, key: str, a: int, b: int, height: str) -> str:
     v = "6378137e0 / sqrt(1 - e2 * sin(radians(lat)) * sin(radians(lat)))"
-    return f"""{name}0 AS (SELECT {key} AS id, 29e0 + ({key} * {a} % 300) / 100e0 AS lat, 105e0 + ({key} * {b} % 400) / 100e0 AS lon, {height} / 10e0 AS h, (2 - 1 / 298.257223563e0) / 298.257223563e0 AS e2 FROM {source} {where}),
+    return f"""{name}0 AS (SELECT {key} AS id, 29e0 + ({key} * {a} % 300) / 100e0 AS lat, 105e0 + ({key} * {b} % 400) / 100e0 AS lon, {height} / 10e0 AS h, (2 - 1 / 298.257223563e0) / 298.257223563e0 AS e2 FROM {source}),
 {name} AS (SELECT id, lat, lon, h, ({v} + h) * cos(radians(lat)) * cos(radians(lon)) AS x, ({v} + h) * cos(radians(lat)) * sin(radians(lon)) AS y, ({v} * (1 - e2) + h) * sin(radians(lat)) AS z FROM {name}0)"""
 
 
@@ -51,11 +51,11 @@ def sta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vsta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0"), "c_custkey", 53, 91, "c_acctbal")
+    return _placed(table(spark, sf_dir, "customer"), "c_custkey", 53, 91, "c_acctbal")
 
 
 STA = _placed_sql("sta", "supplier", "s_suppkey", 37, 73, "s_acctbal")
-VSTA = _placed_sql("vsta", "customer", "c_custkey", 53, 91, "c_acctbal", "WHERE c_custkey % 50 = 0")
+VSTA = _placed_sql("vsta", "customer", "c_custkey", 53, 91, "c_acctbal")
 
 
 def eph(spark: SparkSession, sf_dir: str) -> DataFrame:

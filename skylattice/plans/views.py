@@ -80,11 +80,11 @@ def baseline_solutions(spark, sf_dir) -> DataFrame:
     return network.baseline_views(j).select("base", "rover", *[F.round(c, 3).alias(c) for c in ("e", "n", "u", "length")], F.round("pitch", 6).alias("pitch"), F.round("yaw", 6).alias("yaw"))
 
 
-@register("j08_control_tables", "SELECT s_name AS name, s_nationkey AS kind FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT c_name, c_nationkey FROM customer WHERE c_custkey % 100 = 0")
+@register("j08_control_tables", "SELECT s_name AS name, s_nationkey AS kind FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT c_name, c_nationkey FROM customer")
 def control_tables(spark, sf_dir) -> DataFrame:
     """Sources with some deleted and some added."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     now = s.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("kind"))
     gone = s.filter("s_suppkey % 10 = 0").select(F.col("s_name").alias("name"))
-    new = c.filter("c_custkey % 100 = 0").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("kind"))
+    new = c.select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("kind"))
     return network.apply_changes(now, new, gone, "name")
