@@ -61,6 +61,24 @@ def slips(series: DataFrame, keys: list[str], order: list[str], value: str, thre
     return x.withColumn("arc", F.sum((F.col("slip") | F.col("gap")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def geometry_free(l1: Column, l2: Column, wave1: float, wave2: float) -> Column:
+    """Difference of two frequencies' phases in metres: free of positions and clocks, so it moves with the ionosphere and with slips."""
+    return l1 * wave1 - l2 * wave2
+
+
+def wide_lane(l1: Column, l2: Column, p1: Column, p2: Column, wave1: float, wave2: float) -> Column:
+    """Wide-lane phase less narrow-lane range, in wide-lane cycles (Melbourne and Wuebbena): constant but for noise and slips."""
+    share = (wave2 - wave1) / (wave2 + wave1)  # (f1 - f2) / (f1 + f2)
+    return l1 - l2 - share * (p1 / wave1 + p2 / wave2)
+
+
+def lost_lock(series: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
+    """Adds slip: the receiver's flag tells of lost lock (bit 0), or its half-cycle state (bit 1) differs from the row before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    changed = F.coalesce(F.col(flag).bitwiseXOR(F.lag(flag).over(w)).bitwiseAND(F.lit(2)) != 0, F.lit(False))
+    return series.withColumn("slip", F.coalesce(F.col(flag).bitwiseAND(F.lit(1)) != 0, F.lit(False)) | changed)
+
+
 def lock_counters(arcs: DataFrame, keys: list[str], order: list[str], minlock: int) -> DataFrame:
     """Adds lock: -minlock at a slip, one more with each later row of the arc; from 0 in the first arc."""
     w = Window.partitionBy(*keys, "arc").orderBy(*order)

@@ -1,6 +1,6 @@
 """All registered queries: importing this module imports every module that registers some."""
 
-from . import aggregates, files, graph, joins, kernels, scalars, streams, textio, views  # noqa: F401
+from . import aggregates, chain, files, graph, joins, kernels, scalars, streams, textio, views  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -106,9 +106,9 @@ def integer_search(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).mapInPandas(solve, "id long, n0 long, n1 long, n2 long, n3 long")
 
 
-@register("i04_relative_position", f"WITH {STA} SELECT id, 200 + id % 37 AS dx, -100 - id % 23 AS dy, id % 11 AS dz, 'fixed' AS status FROM sta")
+@register("i04_relative_position", f"WITH {STA} SELECT id, 200e0 + id % 37 AS dx, -100e0 - id % 23 AS dy, 0e0 + id % 11 AS dz, 'fixed' AS status FROM sta")
 def relative_position(spark, sf_dir) -> DataFrame:
-    """Base lines of whole metres recovered by the filter from noisy ranges and phases with unknown integers; one task a base line."""
+    """Base lines recovered to the millimetre by the filter from noisy ranges, and phases with unknown integers; one task a base line."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -121,12 +121,12 @@ def relative_position(spark, sf_dir) -> DataFrame:
                 seen, sat, el = _sky(base, t)
                 ru, rb = positioning.ranges(sat, base + d)[0] + 20, positioning.ranges(sat, base)[0]
                 e = rng.normal(0, 1, (4, len(seen)))
-                status = f.epoch(seen, sat, el, (ru + 0.2 * e[0], rb + 0.2 * e[1]), ((ru + 0.002 * e[2]) / wave + n[seen], (rb + 0.002 * e[3]) / wave), np.zeros(len(seen), bool))
+                status = f.epoch(seen, sat, el, (ru + 0.2 * e[0], rb + 0.2 * e[1]), ((ru + 1e-5 * e[2]) / wave + n[seen], (rb + 1e-5 * e[3]) / wave), np.zeros(len(seen), bool))
             got = (f.fixed if f.fixed is not None else f.position) - base
-            rows.append((r.id, *np.round(got).astype(int), status))
+            rows.append((r.id, *(np.round(got, 3) + 0.0), status))
         return pd.DataFrame(rows, columns=["id", "dx", "dy", "dz", "status"])
 
-    return _spread(sta(spark, sf_dir).select("id", "x", "y", "z"), "id").groupBy("id").applyInPandas(solve, "id long, dx long, dy long, dz long, status string")
+    return _spread(sta(spark, sf_dir).select("id", "x", "y", "z"), "id").groupBy("id").applyInPandas(solve, "id long, dx double, dy double, dz double, status string")
 
 
 @register("i06_wide_lane_rounding", "WITH w AS (SELECT user_id, event_type, avg(value) AS mw, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, CAST(round(mw * 0.190293672798365) AS BIGINT) AS wl, n >= 10 AND abs(mw * 0.190293672798365 - round(mw * 0.190293672798365)) < 0.129 AS fixed FROM w")
@@ -251,13 +251,9 @@ WHEN type IN (1019, 1020, 1041, 1042, 1044, 1045, 1046) THEN 2 WHEN type IN (100
 def message_classes(spark, sf_dir) -> DataFrame:
     """Routing by the first twelve bits; what has no decoder is counted only."""
     kind = F.col("p_partkey") % 270 + 1001
-    m = table(spark, sf_dir, "part").select("p_partkey", kind.alias("type"))
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(**{"class": [rtcm.return_class(int(k)) for k in pdf["type"]]})
-
-    return m.mapInPandas(run, "p_partkey long, type long, class long")
+    known = F.create_map(*[F.lit(x) for k in range(4096) if (c := rtcm.return_class(k)) for x in (k, c)])  # of the types of twelve bits
+    m = table(spark, sf_dir, "part").select("p_partkey", kind.cast("long").alias("type"))
+    return m.withColumn("class", F.coalesce(known[F.col("type").cast("int")], F.lit(0)).cast("long"))
 
 
 @register("g18_glonass_orbit")
@@ -277,7 +273,8 @@ def glonass_orbit(spark, sf_dir) -> DataFrame:
     return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, x double, y double, z double, returns boolean")
 
 
-@register("g20_precise_orbit", f"WITH {STA} SELECT id, true AS near FROM sta")
+@register("g20_precise_orbit", f"""WITH {STA}, q AS (SELECT id, 5000e0 + 13e0 * (id % 400) AS t, id % 30 AS k FROM sta), o AS (SELECT id, 2 * pi() * (k // 5) / 6 - 7.2921151467e-5 * t AS node, 2 * pi() * ((k % 5) / 5e0 + (k // 5) / 30e0 * 2) + t * sqrt(3.986005e14 / pow(26560e3, 3)) AS u, radians(55e0) AS i FROM q)
+SELECT id, round(26560e3 * (cos(u) * cos(node) - sin(u) * cos(i) * sin(node)), 2) AS x, round(26560e3 * (cos(u) * sin(node) + sin(u) * cos(i) * cos(node)), 2) AS y, round(26560e3 * sin(u) * sin(i), 2) AS z FROM o""")
 def precise_orbit(spark, sf_dir) -> DataFrame:
     """Interpolated nodes against the circular orbits they come from."""
 
@@ -285,14 +282,10 @@ def precise_orbit(spark, sf_dir) -> DataFrame:
         times = np.arange(0, 900.0 * 20, 900.0)
         nodes = np.stack([positioning.constellation(t) for t in times])
         for pdf in batches:
-            near = []
-            for i in pdf["id"]:
-                t, k = 5000.0 + 13.0 * (i % 400), int(i) % 30
-                got = orbits.precise_position(times, nodes[:, k], t)
-                near.append(got is not None and bool(np.linalg.norm(got - positioning.constellation(t)[k]) < 1e-3))
-            yield pd.DataFrame({"id": pdf["id"], "near": near})
+            got = [orbits.precise_position(times, nodes[:, int(i) % 30], 5000.0 + 13.0 * (i % 400)) for i in pdf["id"]]
+            yield pd.DataFrame({"id": pdf["id"], **{c: [None if g is None else round(float(g[j]), 2) for g in got] for j, c in enumerate("xyz")}})
 
-    return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, near boolean")
+    return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, x double, y double, z double")
 
 
 @register("g21_solid_tide")

@@ -140,3 +140,53 @@ def test_a_full_turn_of_the_satellite_is_one_cycle():
         ex, ey = np.array([np.cos(a), np.sin(a), 0]), np.array([np.sin(a), -np.cos(a), 0])
         w = orbits.windup(sat, rcv, ex, ey, north, west, w)
     assert abs(abs(w) - 1) < 1e-9
+
+
+def test_broadcast_orbit_columns_equal_the_kernel(spark):
+    from skylattice.functions import orbit
+
+    rng = np.random.default_rng(2)
+    n = 40
+    eph = {c: rng.uniform(-1e-6, 1e-6, n) for c in orbit.ELEMENTS} | {"a": rng.uniform(2.6e7, 2.7e7, n), "e": rng.uniform(0, 0.02, n), "toe": rng.integers(0, 600_000, n).astype(float)}
+    eph |= {c: rng.uniform(-3, 3, n) for c in ("i0", "omg0", "omg", "m0")} | {"omgd": rng.uniform(-9e-9, 0, n), "idot": rng.uniform(-1e-10, 1e-10, n), "deln": rng.uniform(4e-9, 5e-9, n)}
+    eph |= {c: rng.uniform(-300, 300, n) for c in ("crc", "crs")}
+    t = eph["toe"] + rng.uniform(-7200, 7200, n)
+    rows = [(i, float(t[i]), *(float(eph[c][i]) for c in orbit.ELEMENTS)) for i in range(n)]
+    df = spark.createDataFrame(rows, "i long, t double, " + ", ".join(f"{c} double" for c in orbit.ELEMENTS)).select("i", "t", F.struct(*orbit.ELEMENTS).alias("e"))
+    got = df.select("i", orbit.satellite(F.col("e"), F.col("t")).alias("s")).select("i", "s.*").orderBy("i").toPandas()
+    p, clock = orbits.broadcast_position(eph | {"toc": eph["toe"], "toes": eph["toe"]}, t)
+    assert np.abs(got[["x", "y", "z"]].to_numpy() - p).max() < 1e-5 and np.allclose(got["clock"], clock, rtol=1e-12, atol=1e-15)
+
+
+def test_many_epochs_at_once_equal_one_by_one():
+    from skylattice.kernels import positioning
+
+    rng, epochs, want = np.random.default_rng(4), [], []
+    for i in range(12):
+        rr = positioning.ecef(*rng.uniform(-1, 1, 2), rng.uniform(0, 1000))
+        sat = positioning.constellation(600.0 * i)
+        sat = sat[positioning.elevation(sat, rr) > 0.2][: 3 if i == 5 else 20]
+        clock, delay, w = rng.uniform(-1e5, 1e5, len(sat)), rng.uniform(0, 20, len(sat)), rng.uniform(0.5, 2, len(sat))
+        p = positioning.ranges(sat, rr)[0] + 77.0 + i - clock + delay + rng.normal(0, 3, len(sat))
+        epochs.append(np.column_stack([p, sat, clock, delay, w]))
+        one = positioning.single_point(p - delay, sat, clock / positioning.C, np.zeros(len(sat), int), 1 / w, limit=np.inf)
+        want.append([*one.position, one.clocks[0]] if one.ok else [np.nan] * 4)
+    epochs.append(np.empty((0, 7)))
+    got = positioning.points(epochs)
+    assert np.isnan(got["x"][[5, 12]]).all() and got["n"].tolist() == [len(e) for e in epochs]
+    assert np.allclose(np.stack([got[c] for c in ("x", "y", "z", "dt")], axis=1)[:12], want, atol=1e-3, equal_nan=True)
+    assert len(positioning.points([])["x"]) == 0
+
+
+def test_positions_skip_what_they_cannot_use(spark):
+    """Rows without an ephemeris or a range, a null satellite, a repeated observation: no crash, the others solve."""
+    from skylattice.operators import pointing
+    from skylattice.plans import chain
+    from tests.compare import SMALL
+
+    obs, eph = chain.observations(spark, SMALL).filter("t = 900 AND srcid IN (1, 2)"), chain.ephemerides(spark)
+    odd = obs.unionAll(obs.filter("srcid = 1").limit(1)).unionAll(spark.sql("select 1L srcid, 900D t, 77L sat, 2e7D p union all select 1L, 900D, null, 2e7D union all select 2L, 900D, 3L, null union all select 9L, 900D, 3L, 2e7D"))
+    got = {r["srcid"]: r for r in pointing.single_points(odd, eph).collect()}
+    want = {r["srcid"]: r for r in pointing.single_points(obs, eph).collect()}
+    assert set(want) == {1, 2} and all(abs(got[i][c] - want[i][c]) < 1e-4 for i in want for c in "xyz") and 9 not in got
+    assert pointing.single_points(obs.limit(0), eph).count() == 0
