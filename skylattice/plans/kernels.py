@@ -246,8 +246,78 @@ def ssr_round_trip(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(run, "event_id long, radial double, along double")
 
 
+@register("h06_text_message", "SELECT event_id, user_id AS station, event_type || ' ' || props AS text FROM events")
+def text_message(spark, sf_dir) -> DataFrame:
+    """Texts sent and received in frames."""
+
+    def run(batches):
+        for pdf in batches:
+            got = [rtcm.decode(rtcm.Framer().feed(rtcm.frame(rtcm.encode_text({"station": int(s), "text": t})))[0]) for s, t in zip(pdf["user_id"], pdf["text"], strict=True)]
+            yield pd.DataFrame({"event_id": pdf["event_id"], "station": [g["station"] for g in got], "text": [g["text"] for g in got]})
+
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.concat_ws(" ", "event_type", "props").alias("text")).mapInPandas(run, "event_id long, station long, text string")
+
+
+@register("h06_glonass_biases", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN round(round(value / 3.1e0 / 0.02e0) * 0.02e0, 4) END AS c1, round(round(-value / 7.3e0 / 0.02e0) * 0.02e0, 4) + 0e0 AS p2 FROM events")
+def glonass_biases(spark, sf_dir) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            given = [({"1C": v / 3.1} if e % 2 == 0 else {}) | {"2P": -v / 7.3} for e, v in zip(pdf["event_id"], pdf["value"], strict=True)]
+            got = [rtcm.decode(rtcm.encode_biases({"biases": g}))["biases"] for g in given]
+            yield pd.DataFrame({"event_id": pdf["event_id"], "c1": pd.array([round(g["1C"], 4) if "1C" in g else None for g in got], "Float64"), "p2": [round(g["2P"], 4) + 0.0 for g in got]})
+
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(run, "event_id long, c1 double, p2 double")
+
+
+@register("h08_ssr_biases", "SELECT event_id, event_id % 20 AS signal, round(round(value / 11e0 / 0.01e0) * 0.01e0, 4) AS code, round(round(-value / 13e0 / 1e-4) * 1e-4, 4) + 0e0 AS phase, event_id % 64 AS ura FROM events")
+def ssr_biases(spark, sf_dir) -> DataFrame:
+    """Code and phase biases and accuracies, up to 63 satellites a message."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for at in range(0, len(pdf), 63):
+                some = pdf.iloc[at : at + 63]
+                ids, v = some["event_id"].tolist(), some["value"].tolist()
+                send = lambda kind, rows: rtcm.decode(rtcm.encode_ssr(kind, 0, rows))["rows"]
+                code = send(1059, [{"prn": i % 64, "signals": [{"signal": e % 20, "bias": x / 11.0}]} for i, (e, x) in enumerate(zip(ids, v, strict=True))])
+                phase = send(1265, [{"prn": i % 64, "yaw": 0, "yaw_rate": 0, "signals": [{"signal": e % 20, "whole": 1, "wide": 2, "breaks": e % 16, "bias": -x / 13.0}]} for i, (e, x) in enumerate(zip(ids, v, strict=True))])
+                ura = send(1061, [{"prn": i % 64, "ura": e % 64} for i, e in enumerate(ids)])
+                out += [(e, c["signals"][0]["signal"], round(c["signals"][0]["bias"], 4), round(p["signals"][0]["bias"], 4) + 0.0, u["ura"]) for e, c, p, u in zip(ids, code, phase, ura, strict=True)]
+            yield pd.DataFrame(out, columns=["event_id", "signal", "code", "phase", "ura"])
+
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(run, "event_id long, signal long, code double, phase double, ura long")
+
+
+@register("h04_legacy_observations", f"""WITH {OBS}, m AS (SELECT srcid, epoch, sat, 2.2e7 + p * 1e4 AS p1 FROM obs), a AS (SELECT *, floor(p1 / 299792.458e0) AS amb FROM m)
+SELECT srcid, epoch, sat, round(amb * 299792.458e0 + round((p1 - amb * 299792.458e0) / 0.02e0) * 0.02e0, 4) AS long_p, round(round((p1 - amb * 299792.458e0) / 0.02e0) * 0.02e0, 4) AS short_p FROM a""")
+def legacy_observations(spark, sf_dir) -> DataFrame:
+    """Ranges through the old two-frequency messages, whole and without whole milliseconds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sats = [{"prn": int(s), "p1": 2.2e7 + p * 1e4, "l1": None, "p2": 2.2e7 + p * 1e4 + 3, "l2": None} for s, p in zip(pdf["sat"], pdf["p"], strict=True)]
+        station, epoch = int(pdf["srcid"].iloc[0]), int(pdf["epoch"].iloc[0])
+        got = [rtcm.decode_legacy(rtcm.encode_legacy(kind, station, epoch, sats)) for kind in (1004, 1003)]
+        return pd.DataFrame([(g["station"], g["epoch"], a["prn"], round(a["p1"], 4), round(b["p1"], 4)) for g in got[:1] for a, b in zip(g["sats"], got[1]["sats"], strict=True)], columns=["srcid", "epoch", "sat", "long_p", "short_p"])
+
+    return obs(spark, sf_dir).select("srcid", "epoch", "sat", "p").groupBy("srcid", "epoch").applyInPandas(run, "srcid long, epoch long, sat long, long_p double, short_p double")
+
+
+@register("h13_compact_observations", f"""WITH {OBS}, m AS (SELECT srcid, epoch, sat, (2.2e7 + p * 1e4) / {MS} AS ms FROM obs), r AS (SELECT *, round(ms * 1024) / 1024 AS rough FROM m)
+SELECT srcid, epoch, sat, round((rough - floor(rough) + round((ms - rough) * 16777216) / 16777216) * {MS}, 4) AS p FROM r""")
+def compact_observations(spark, sf_dir) -> DataFrame:
+    """Ranges less whole milliseconds through observation messages of kind 3."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = [{"sat": int(s), "sig": 2, "p": 2.2e7 + p * 1e4, "l": 2.2e7 + p * 1e4, "lock": 3} for s, p in zip(pdf["sat"], pdf["p"], strict=True)]
+        got = rtcm.decode_msm(rtcm.encode_msm("E", 3, int(pdf["srcid"].iloc[0]), int(pdf["epoch"].iloc[0]), cells))
+        return pd.DataFrame([(got["station"], got["epoch"], c["sat"], round(c["p"], 4)) for c in got["cells"]], columns=["srcid", "epoch", "sat", "p"])
+
+    return obs(spark, sf_dir).select("srcid", "epoch", "sat", "p").groupBy("srcid", "epoch").applyInPandas(run, "srcid long, epoch long, sat long, p double")
+
+
 @register("h09_message_classes", """WITH m AS (SELECT p_partkey, CAST(1001 + p_partkey % 270 AS BIGINT) AS type FROM part) SELECT p_partkey, type, CAST(CASE WHEN type IN (1002, 1004, 1010, 1012) OR (type BETWEEN 1071 AND 1127 AND type % 10 BETWEEN 4 AND 7) THEN 1
-WHEN type IN (1019, 1020, 1041, 1042, 1044, 1045, 1046) THEN 2 WHEN type IN (1005, 1006, 1007, 1008, 1033) THEN 5 WHEN type IN (1057, 1058, 1060, 1063, 1064, 1066, 1240, 1241, 1243, 1258, 1259, 1261) THEN 10 ELSE 0 END AS BIGINT) AS class FROM m""")
+WHEN type IN (1019, 1020, 1041, 1042, 1044, 1045, 1046) THEN 2 WHEN type IN (1005, 1006, 1007, 1008, 1029, 1033, 1230) THEN 5 WHEN type IN (1057, 1058, 1059, 1060, 1061, 1062, 1063, 1064, 1065, 1066, 1067, 1068, 1240, 1241, 1242, 1243, 1244, 1245, 1258, 1259, 1260, 1261, 1262, 1263, 1265, 1266, 1267, 1270) THEN 10 ELSE 0 END AS BIGINT) AS class FROM m""")
 def message_classes(spark, sf_dir) -> DataFrame:
     """Routing by the first twelve bits; what has no decoder is counted only."""
     kind = F.col("p_partkey") % 270 + 1001
