@@ -3,6 +3,11 @@
 quality: documents that the subword classifier rejects go. near_duplicates: one document of each class stays. personal_data: spans are
 replaced by marks. mix: documents are repeated or left out so that each source comes near its target. pack: the pieces
 of token sequences, packed.
+
+Defined cases. Nulls in any column, empty and very long texts: each stage treats them as its operator says; a null text is scored as an empty one,
+is a near duplicate of nothing but its own repeated row, and stays null until it is packed as the end id alone, if it stays. Ties and repeated rows: one row of each
+class stays. Documents without an id are documents like others. Extra columns stay up to the last stage, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

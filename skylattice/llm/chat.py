@@ -4,7 +4,7 @@ A pair is a chosen and a rejected conversation. Their longest common prefix of t
 once as the prompt; what follows in each is its completion. A completion's mask lists the spans (start:end, code
 points from the completion's start) that are to be learned: the texts of assistant turns with their end marks.
 
-Defined cases. Turns are put in order of (turn, role, text), nulls first; repeated rows stay. Null role or text: rendered
+Defined cases. Columns besides those of `conversations`, whatever their names, aren't read. Very long texts are rendered whole. Turns are put in order of (turn, role, text), nulls first; repeated rows stay. Null role or text: rendered
 as empty; two nulls are equal. A pair whose one side has no turns has an empty prompt and an empty completion there. Turns
 without a pair are left out. An empty table gives an empty result. A conversation is one record by nature: its
 turns meet in one row, as its rendered text does.

@@ -4,7 +4,9 @@ Every shuffled document gets a virtual finish time: the words its source has sen
 source's target. All copies are ordered by that time and the order is cut at the total budget. Everything is DataFrame
 code; the driver sees two histograms of fixed length and one cut position.
 
-Defined cases. Null text: size 0, never more than 0 words taken. Null source: a source of its own, last. Null doc_id: a
+Defined cases. Columns besides doc_id, source and text, whatever their names, pass through. Very long texts: never cut, so a source may end
+a document off its target. Ties: documents of one id and size are told apart by their texts' hashes, so reruns take the same ones.
+Null text: size 0, never more than 0 words taken. Null source: a source of its own, last. Null doc_id: a
 document like any other, its id counts as the empty text in the shuffle. Repeated rows: each is a document; equal rows
 are interchangeable. An empty table gives an empty result. A source whose size is 0 has target 0.
 """
@@ -55,7 +57,7 @@ def _queued(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     """Each document with its source's figures and `_sent`, the words its source has sent when it ends. Running sums
     are made in hash buckets of about BUCKET_ROWS documents, so that a hot source is spread over many tasks."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("_key"), *row)
+    x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("_key"), F.xxhash64("text").alias("_hash"), *row)
     if not carry:
         x = staged(x)  # words are counted once
     s = staged(source_targets(x.select("source", "size")).withColumnRenamed("source", "_of"))
@@ -67,7 +69,7 @@ def _queued(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     sums = x.groupBy("rank", "_b").agg(F.sum("size").alias("_s"))
     before = Window.partitionBy("rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("rank", "_b").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "_b").orderBy("_key", "doc_id", "size", "_hash").rowsBetween(Window.unboundedPreceding, 0)
     return x.join(sums, ["rank", "_b"]).withColumn("_sent", F.col("_before") + F.sum("size").over(inside))
 
 

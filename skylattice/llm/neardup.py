@@ -13,7 +13,7 @@ compared in full, in pairs of blocks, inside tasks: a bound on common shingles,
 most pairs, the others are aligned unless they have come together meanwhile, and only links that join two classes leave the task.
 So no link between texts of a bucket is lost, and one large class costs a row for each member.
 
-Defined cases. Null or empty text, or one without words: a class of its own. Fewer than five words: the whole text is the one
+Defined cases. Columns besides doc_id and text, whatever their names, aren't read, and stay in one_of_each. Null or empty text, or one without words: a class of its own. Fewer than five words: the whole text is the one
 shingle, so only equal texts meet. Null doc_id: gets its class's id, the least doc_id in it (null if there is none). An id of
 different texts: each text is in its own class, and class_label tells classes apart whose least doc_id is the same. Repeated rows:
 one class, each row returned. An empty table gives an empty result. Texts are read whole.

@@ -6,7 +6,7 @@ meet, the partition is certified optimal. Pieces in bins with gaps (all of an un
 filled ones of the others) are exchanged: they are pooled, dealt anew to fewer partitions and packed again, as
 long as that saves sequences and the bound over all pieces isn't met.
 
-Defined cases. Null text: empty, so one piece that holds the end id alone. Null doc_id: kept as null. Repeated rows: each
+Defined cases. Columns besides doc_id and text, whatever their names, aren't read. Null text: empty, so one piece that holds the end id alone. Null doc_id: kept as null. Repeated rows: each
 row is packed. An empty table gives an empty result. Very long texts: cut, the first piece takes what is left over.
 """
 

@@ -5,7 +5,7 @@ vector for each word that repeats the word before it; a softmax layer on that av
 numpy. Once trained, a feature's vector only ever meets the layer's difference of two columns, so scoring looks up one number
 for each feature and averages.
 
-Defined cases. Null or empty text, or one without words: the score is that of the layer's offsets alone, the share of label 1
+Defined cases. Columns besides doc_id and text (of labels: doc_id and quality), whatever their names, aren't read and stay in score and keep. Null or empty text, or one without words: the score is that of the layer's offsets alone, the share of label 1
 as learnt. No usable label: every score is 0.5. Several labels for a document: each is learnt from. Null label: not learnt
 from. Null doc_id: held out; scored. Repeated rows: each is scored. An empty table gives an empty result. Texts are read whole.
 """

@@ -8,7 +8,7 @@ that histogram, as short texts diverge by chance.
 Common words are found exactly in two passes with bounded memory: words are counted in hash buckets, and only words in
 buckets that hold COMMON of a language's words are counted each.
 
-Defined cases. Null text: no words, so base_failed. Null lang: left out of the references, judged all the same. No language at
+Defined cases. Columns besides doc_id, text and those named here, whatever their names, aren't read. Null text: no words, so base_failed. Null lang: left out of the references, judged all the same. No language at
 all: the verdict is that of the base rules. Null doc_id: kept. Repeated rows: each is judged. An empty table gives an
 empty result. Texts are read whole; memory grows with the longest text.
 """

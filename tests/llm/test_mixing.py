@@ -50,3 +50,13 @@ def test_documents_are_repeated_as_taken(spark, odd_docs):
     assert a == b
     plan = mixing.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_reruns_take_the_same_of_equal_ids_and_sizes(spark):
+    """Many different texts of one id and size: whatever order they come in, the same are repeated."""
+    rows = [(i % 3, f"word{i} " + "w " * (i % 2), "a" if i % 5 else "b") for i in range(60)] + [(1, "w " * 5000, "b")]
+    takes = []
+    for part in (1, 7):
+        docs = spark.createDataFrame(rows if part == 1 else rows[::-1], "doc_id long, text string, source string").repartition(part)
+        takes.append(sorted((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect()))
+    assert takes[0] == takes[1] and len(takes[0]) != len(set(takes[0]))

@@ -58,3 +58,22 @@ def test_run_equals_plain_stages(spark):
     again = corpus_pipeline.run(spark, SMALL).groupBy("doc_id", "piece", "ids_crc32").count().toPandas()
     first = got.groupby(["doc_id", "piece", "ids_crc32"]).size().to_dict()
     assert first == {(r.doc_id, r.piece, r.ids_crc32): r.count_ for r in again.rename(columns={"count": "count_"}).itertuples()}
+
+
+def test_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, long texts, repeated rows and clashing columns go through all stages; an empty table gives nothing."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "none":
+            assert not got
+            continue
+        ids = {r["doc_id"] for r in got}
+        assert ids and ids <= {r["doc_id"] for r in odd_docs.select("doc_id").collect()} and not {1, 5} <= ids
+        bins = {}
+        for r in got:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for one in map(sorted, bins.values()):
+            assert all(at == sum(n for _, n in one[:i]) for i, (at, _) in enumerate(one)) and sum(n for _, n in one) <= 1024
