@@ -358,6 +358,24 @@ def precise_orbit(spark, sf_dir) -> DataFrame:
     return sta(spark, sf_dir).select("id").mapInPandas(run, "id long, x double, y double, z double")
 
 
+@register("g24_phase_windup", "SELECT event_id, round(floor(value / 10e0) + CASE WHEN event_id * 7 % 360 > 180 THEN event_id * 7 % 360 - 360 ELSE event_id * 7 % 360 END / 360e0 + CASE WHEN event_id * 7 % 360 = 180 THEN NULL ELSE 0 END, 9) + 0e0 AS cycles FROM events")
+def phase_windup(spark, sf_dir) -> DataFrame:
+    """A satellite overhead, turned by an angle, after whole turns before: the turns and the angle's share of one. At half a turn both ways
+    are as near, so there is no value."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf["event_id"].tolist(), pdf["value"].tolist(), strict=True):
+                a = np.radians(k * 7 % 360)
+                ex, ey = np.array([np.cos(a), np.sin(a), 0]), np.array([np.sin(a), -np.cos(a), 0])
+                w = orbits.windup(np.array([0, 0, 2e7]), np.zeros(3), ex, ey, np.eye(3)[0], np.eye(3)[1], float(np.floor(v / 10.0)))
+                out.append(None if k * 7 % 360 == 180 else round(w, 9) + 0.0)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "cycles": pd.array(out, "Float64")})
+
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(run, "event_id long, cycles double")
+
+
 @register("g21_solid_tide")
 def tide(spark, sf_dir) -> DataFrame:
     def run(batches):
