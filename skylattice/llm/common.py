@@ -7,7 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word everywhere in this subpackage (fixed pattern).
@@ -61,6 +61,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """df, staged, with column: 0, 1, 2... in the order of its partitions and of the rows in each: the place in the partition plus the
+    partition's offset. The offsets are a row for each partition."""
+    x = staged(df.withColumn(column, F.monotonically_increasing_id()))
+    part = F.shiftright(column, 33).alias("_part")
+    n = x.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = n.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    x = x.join(F.broadcast(first), part == F.col("_of"))
+    return x.withColumn(column, F.col("_first") + F.col(column).bitwiseAND(F.lit((1 << 33) - 1))).drop("_of", "_first")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def a_to_z(text: Column) -> Column:
+    """text with A to Z lower-cased and nothing else; texts of ASCII alone take the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def by_document(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
     """docs' doc_id and text through run, whose result has doc_id first. Ids travel as text, since a batch that holds a null would
     turn them into floating-point numbers."""
@@ -95,3 +115,12 @@ def held_out(doc_id: Column) -> Column:
     """The documented fold: crc32 of the id's decimal text, modulo 5, is 0. A null id counts as the empty text, whose
     crc32 is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
+
+
+#: crc32 by bytes in SQL: its table by rule, and a fold over the bytes of x (an expression of text).
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"
+
+
+def crc_sql(x: str) -> str:
+    pairs = f"list_transform(range(octet_length(encode({x}))), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({pairs}, lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295)"
