@@ -114,3 +114,28 @@ def test_a_sample_of_a_hot_language_is_the_least_hashed_ids(spark):
     inside = known.filter(~held_out(F.col("doc_id")))
     n = {r["lang"]: r["n"] for r in inside.groupBy("lang").agg(F.countDistinct("doc_id").alias("n")).collect()}
     assert seen[0] in {min(400, n["aa"]) + n["bb"] - i for i in (0, 1)}  # the hot id isn't learnt from
+
+
+def test_no_language_is_left_out(spark):
+    """300 languages, each of one word of its own: all can be predicted, and are where the document is one that was learnt from."""
+    rows = [(k * 8 + i, f"{prose(k, 1, 'abcdefghijklmnopqrstuvwxyz')} {prose(k + 1000, 1, 'abcdefghijklmnopqrstuvwxyz')} " * 3, f"l{k:03}") for k in range(300) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs)
+    assert len(m.langs) == 300
+    got = langid.identify(docs, m).join(docs, "doc_id").toPandas()
+    assert got["lang_pred"].nunique() > 290 and (got["lang"] == got["lang_pred"]).mean() > 0.95
+
+
+def test_scores_tell_of_mixed_texts(spark):
+    """Texts half in one language and half in another score lower than whole ones, and some are flagged."""
+    m = langid.train(corpus(spark))
+    whole = spark.createDataFrame([(i, prose(900 + i, 60, ALPHABETS["aa"])) for i in range(40)], "doc_id long, text string")
+    mixed = spark.createDataFrame([(i, prose(900 + i, 30, ALPHABETS["aa"]) + " " + prose(950 + i, 30, ALPHABETS["bb"])) for i in range(40)], "doc_id long, text string")
+    a, b = (langid.identify(d, m).toPandas() for d in (whole, mixed))
+    assert a["score"].min() > b["score"].median() and b["ambiguous"].any() and not a["ambiguous"].any()
+
+
+def test_ties_go_to_the_first_language():
+    m = langid.Model(["a", "b"], langid.codewords(2), np.zeros((2, 1), np.float32), np.ones(1, np.float32))
+    best, score, unsure = m.predict(np.ones((1, 1), np.float32))
+    assert best[0] == 0 and abs(score[0] - 0.5) < 1e-6 and unsure[0]
