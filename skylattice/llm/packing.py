@@ -7,11 +7,13 @@ filled ones of the others) are exchanged: they are pooled, dealt anew to fewer p
 long as that saves sequences and the bound over all pieces isn't met.
 
 Defined cases. Columns besides doc_id and text, whatever their names, aren't read. Null text: empty, so one piece that holds the end id alone. Null doc_id: kept as null. Repeated rows: each
-row is packed. An empty table gives an empty result. Very long texts: cut, the first piece takes what is left over.
+row is packed. Ties: of equally long pieces of a partition those that come first in its table are packed first, and of bins of equal room the one
+that was filled last takes the piece; either way the number of sequences is the same. An empty table gives an empty result. Very long texts: cut, the first piece takes what is left over.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,6 @@ LIMIT, END_ID = 1024, 2
 PART_ROWS = 8192
 #: A certified partition gives away bins filled to less than this share.
 FILLED = 0.97
-ROUNDS = 5
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -104,7 +105,7 @@ def _packed(items: DataFrame, rows: int, turn: int, limit: int) -> DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, limit)
         bound = lower_bound(np.bincount(lengths, minlength=limit + 1), limit)
-        base = (turn << 56) + (int(pdf["_part"].iloc[0]) << 24)
+        base = (turn << 53) + (int(pdf["_part"].iloc[0]) << 24)
         return pdf.drop(columns="_part").assign(sequence_id=base + bins, offset=offsets, _fill=fill[bins], _sure=len(fill) == bound)
 
     dealt = items.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).cast("int"))
@@ -120,7 +121,7 @@ def pack(items: DataFrame, limit: int = LIMIT) -> DataFrame:
     for r in items.groupBy("length").count().collect():  # a row for each length, so at most `limit`
         counts[r["length"]] = r["count"]
     bound, out = lower_bound(counts, limit), _packed(items, int(counts.sum()), 0, limit)
-    for turn in range(1, ROUNDS):
+    for turn in itertools.count(1):  # ends, as each round but the last saves a sequence
         loose = (F.col("_fill") < limit) & (~F.col("_sure") | (F.col("_fill") < FILLED * limit))
         bins = out.agg(F.countDistinct("sequence_id"), F.count(F.when(loose, 1)), F.countDistinct(F.when(loose, F.col("sequence_id")))).head()
         if bins[0] <= bound or not bins[1]:

@@ -83,3 +83,14 @@ def test_exchange_saves_sequences(spark, monkeypatch):
     assert bins <= alone and len(out) == 2000 and bins >= packing.lower_bound(np.bincount(lengths, minlength=1025))
     assert out.groupby("sequence_id")["length"].sum().max() <= 1024
     assert list(itertools.islice(out.columns, 5)) == ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def test_exchange_goes_on_as_long_as_it_saves(spark, monkeypatch):
+    """Rounds end by themselves: when the bound is met, nothing is loose, or the last round saved nothing."""
+    monkeypatch.setattr(packing, "PART_ROWS", 12)
+    turns, real = [], packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda items, rows, turn, limit: turns.append((turn, rows)) or real(items, rows, turn, limit))
+    lengths = np.random.default_rng(6).integers(300, 800, 400)
+    out = packing.pack(spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)).toPandas()
+    assert [t for t, _ in turns] == list(range(len(turns))) and all(b[1] <= a[1] for a, b in itertools.pairwise(turns))
+    assert out.groupby("sequence_id")["length"].sum().max() <= 1024 and len(out) == 400
