@@ -7,8 +7,8 @@ code; the driver sees two histograms of fixed length and one cut position.
 Defined cases. Columns besides doc_id, source and text, whatever their names, pass through. Very long texts: never cut, so a source may end
 a document off its target. Ties: documents of one id and size are told apart by their texts' hashes, so reruns take the same ones.
 Null text: size 0, never more than 0 words taken. Null source: a source of its own, last. Null doc_id: a
-document like any other, its id counts as the empty text in the shuffle. Repeated rows: each is a document; equal rows
-are interchangeable. An empty table gives an empty result. A source whose size is 0 has target 0.
+document like any other, its id counts as the empty text in the shuffle. Many texts of one id are shuffled like texts of many ids. Repeated rows: each is a document; equal rows
+are interchangeable and stand side by side in the queue. An empty table gives an empty result. A source whose size is 0 has target 0.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ BINS = 4096
 FEW_SOURCES = 20_000
 
 
-def shuffle_key(doc_id: Column, seed: int) -> Column:
-    """60 uniform bits that depend on the id alone."""
-    told = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def shuffle_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 uniform bits that depend on the id and the text alone, so that the documents of one id are spread like others."""
+    told = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
 
 
@@ -55,9 +55,9 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def _queued(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     """Each document with its source's figures and `_sent`, the words its source has sent when it ends. Running sums
-    are made in hash buckets of about BUCKET_ROWS documents, so that a hot source is spread over many tasks."""
+    are made in buckets of about BUCKET_ROWS documents by shuffle key, so that a hot source or a hot id is spread over many tasks."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("_key"), F.xxhash64("text").alias("_hash"), *row)
+    x = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("_key"), F.xxhash64("text").alias("_hash"), *row)
     if not carry:
         x = staged(x)  # words are counted once
     s = staged(source_targets(x.select("source", "size")).withColumnRenamed("source", "_of"))
@@ -143,7 +143,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k
+         CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS k
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM sized GROUP BY source),
 w AS (SELECT *, (rnk - 1) % 3 + 1 AS wt, CAST(3 * source_size AS DOUBLE) / ((rnk - 1) % 3 + 1) AS full_at FROM src),

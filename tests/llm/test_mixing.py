@@ -60,3 +60,12 @@ def test_reruns_take_the_same_of_equal_ids_and_sizes(spark):
         docs = spark.createDataFrame(rows if part == 1 else rows[::-1], "doc_id long, text string, source string").repartition(part)
         takes.append(sorted((r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs).collect()))
     assert takes[0] == takes[1] and len(takes[0]) != len(set(takes[0]))
+
+
+def test_texts_of_a_hot_id_are_spread(spark):
+    """A third of all rows under one id, and a tenth without an id: no bucket of the running sums is much larger than others."""
+    data = [(7 if i % 3 == 0 else None if i % 10 == 1 else i, f"text {i} " + "w " * (i % 4), "a") for i in range(30_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes = [r["count"] for r in mixing._queued(docs, 7, False).groupBy("rank", "_b").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 1.25 * sum(sizes) / len(sizes)
+    check(spark, docs.limit(3000))
