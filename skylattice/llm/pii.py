@@ -6,7 +6,8 @@ by side, where a pattern's match takes both and fails its check as a whole. Samp
 learnt from, as the patterns can't tell what is in them. Every kind needs a digit or an @, so windows are laid over all stretches of a text around such characters; the
 rest of the text can't hold a span. Scores of overlapping windows are averaged, each weighing by how far inside its window a
 character lies, and one Viterbi path is decoded over the whole stretch. A decoded span is added if it passes its kind's
-exact check, is confident, and meets no span of the patterns.
+exact check, is confident, and meets no span of the patterns; then the stretch is decoded again with the added spans fixed, until none is added. A decoded
+stretch of digits that is no number as a whole, but several with a space between two, counts as these.
 
 Defined cases. Columns besides doc_id and text, whatever their names, aren't read by the search and pass through redaction
 unchanged (n_chars is set anew). Null text: empty, no spans. Null doc_id: kept. Repeated rows: each is searched. An empty table gives an empty result; the
@@ -33,7 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, DOC_WINDOWS, GENERATED = 300, 6, 2400
 WINDOW, STEP, MARGIN = 64, 32, 24
 UNITS, WIDTH, BATCH, PASSES = 24, 12, 64, 10
-CONFIDENT = 0.9
+CONFIDENT = 0.6
 N_TAGS = 1 + 2 * len(KINDS)
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -206,8 +207,8 @@ class Network:
         p, (n, t), u = self.p, x.shape, UNITS
         table = p["embed"] @ p["wx"] + p["b"]
         both = np.stack([x, x[:, ::-1]])
-        h, c = np.zeros((2, n, u), np.float32), np.zeros((2, n, u), np.float32)
-        hs = np.empty((t, 2, n, u), np.float32)
+        h, c = np.zeros((2, n, u), table.dtype), np.zeros((2, n, u), table.dtype)
+        hs = np.empty((t, 2, n, u), table.dtype)
         for i in range(t):
             z = np.stack([table[0][both[0, :, i]], table[1][both[1, :, i]]]) + h @ p["wh"]
             s, g = _sigmoid(z[..., : 3 * u]), np.tanh(z[..., 3 * u :])
@@ -258,12 +259,12 @@ class Network:
         gold = p["first"][y[:, 0]] + e[at].sum(axis=1) + p["step"][y[:, :-1], y[:, 1:]].sum(axis=1)
         de[at[1], at[0], y] -= 1
         both, out = keep.pop()
-        de = de.astype(np.float32)
+        de = de.astype(e.dtype)
         g["wo"], g["bo"] = np.tensordot(out, de, ([0, 1], [0, 1])), de.sum(axis=(0, 1))
         dout = de @ p["wo"].T
         dhs, u = np.stack([dout[..., :UNITS], dout[::-1, :, UNITS:]], axis=1), UNITS
         dh, dc = np.zeros_like(keep[0][0]), np.zeros_like(keep[0][0])
-        dtable, dzs = np.zeros((2, N_CODES, 4 * u), np.float32), np.empty((t, 2, n, 4 * u), np.float32)
+        dtable, dzs = np.zeros((2, N_CODES, 4 * u), e.dtype), np.empty((t, 2, n, 4 * u), e.dtype)
         for i in range(t - 1, -1, -1):
             h, was, s, gt, tc = keep[i]
             dh = dh + dhs[i]
@@ -280,11 +281,13 @@ class Network:
             dtable[d, code] = np.add.reduceat(dzs[:, d].reshape(-1, 4 * u)[order], first)
         g["wx"], g["b"] = p["embed"].T @ dtable, dtable.sum(axis=1, keepdims=True)
         g["embed"] = (dtable @ p["wx"].transpose(0, 2, 1)).sum(axis=0)
-        return float((z - gold).mean()), {v: (w / n).astype(np.float32) for v, w in g.items()}
+        return float((z - gold).mean()), {v: (w / n).astype(e.dtype) for v, w in g.items()}
 
     def fit(self, x: np.ndarray, y: np.ndarray, rate: float = 0.03, seed: int = 2) -> Network:
-        """Adam over shuffled batches, with a falling rate."""
+        """Adam over shuffled batches, with a falling rate. In double precision, so that the order in which a machine adds up hardly matters;
+        the weights are rounded in the end, so that the rest of it doesn't either."""
         rng = np.random.default_rng(seed)
+        self.p = {k: w.astype(np.float64) for k, w in self.p.items()}
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
         steps, t = PASSES * -(-len(x) // BATCH), 0
         for _ in range(PASSES):
@@ -298,6 +301,7 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * w * scale
                     v[k] = 0.999 * v[k] + 0.001 * (w * scale) ** 2
                     self.p[k] = self.p[k] - rate * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        self.p = {k: np.round(w, 4).astype(np.float32) for k, w in self.p.items()}
         return self
 
     def decode(self, e: np.ndarray) -> np.ndarray:
@@ -348,22 +352,55 @@ def model_spans(net: Network, texts: list[str]) -> list[list[Span]]:
             total[w : w + k] += scores[back[first + j], :k] * _INNER[:k, None]
             weight[w : w + k, 0] += _INNER[:k]
         e = total / weight
-        path = net.decode(e) if (e[:, 1:].max(axis=1) > e[:, 0] - 12).any() else np.zeros(n, np.int64)
-        a = 0
-        while a < n:
+        if (e[:, 1:].max(axis=1) > e[:, 0] - 12).any():
+            out[i] += [(k, s + a, s + b) for k, a, b in certified(net, e, texts[i][s : s + n])]
+    return out
+
+
+def parted(kind: int, text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The fewest valid numbers, with one space between two, that text[a:b] is made of; the earliest ends of equally many. None: it isn't."""
+    ends = [k for k in range(a, b) if text[k] == " "] + [b]
+    best: dict[int, list[tuple[int, int]]] = {a: []}
+    for end in ends:
+        ways = [[*best[s], (s, end)] for s in sorted(best) if s < end and valid(kind, text[s:end])]
+        if ways:
+            best[end + 1] = min(ways, key=lambda w: (len(w), w))
+    return best.get(b + 1, [])
+
+
+#: Added to the scores of a certain span's tags.
+SURE = np.float32(40)
+
+
+def certified(net: Network, e: np.ndarray, text: str) -> list[Span]:
+    """The confident, valid spans of one stretch with tag scores e. What has been certified is then taken as given: the stretch is decoded again with
+    those spans fixed, which makes up the network's mind about a number beside one, until nothing is added."""
+    found: list[Span] = []
+    while True:
+        path, new, a = net.decode(e), [], 0
+        while a < len(path):
             if path[a] == 0:
                 a += 1
                 continue
-            kind, b = (path[a] - 1) // 2, a + 1
-            while b < n and path[b] == 2 + 2 * kind:
+            kind, b = int(path[a] - 1) // 2, a + 1
+            while b < len(path) and path[b] == 2 + 2 * kind:
                 b += 1
-            if valid(int(kind), texts[i][s + a : s + b]):
+            if not any(x < b and a < y for _, x, y in found):
+                parts = [(a, b)] if valid(kind, text[a:b]) else parted(kind, text, a, b) if kind > 1 else []
                 lo = max(0, a - MARGIN)  # what is farther away hardly matters
-                share = net.posterior(e[lo : b + MARGIN])[a - lo : b - lo]
-                if share[np.arange(b - a), path[a:b]].min() >= CONFIDENT:
-                    out[i].append((int(kind), s + a, s + b))
+                share = net.posterior(e[lo : b + MARGIN])[a - lo : b - lo] if parts else None
+                if parts and share[np.arange(b - a), path[a:b]].min() >= CONFIDENT:
+                    new += [(kind, x, y) for x, y in parts]
             a = b
-    return out
+        if not new:
+            return sorted(found, key=lambda x: x[1])
+        found += new
+        e = e.copy()
+        for kind, a, b in new:
+            e[a, 1 + 2 * kind] += SURE
+            e[a + 1 : b, 2 + 2 * kind] += SURE
+            if b < len(e):
+                e[b, 2 + 2 * kind] -= SURE  # the span ends here
 
 
 def find(net: Network, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:

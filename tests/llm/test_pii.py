@@ -120,7 +120,7 @@ def test_planted_forms_that_the_patterns_miss(spark, net):
     for (_, spans), (base, more) in zip(planted, pii.find(net, [t for t, _ in planted]), strict=True):
         due, have = spans - {(s, e) for _, s, e in base}, {(s, e) for _, s, e in more}
         missed, hits, added, wrong = missed + len(due), hits + len(due & have), added + len(have), wrong + len(have - spans)
-    assert missed > 500 and hits / missed > 0.7 and 1 - wrong / added >= 0.95
+    assert missed > 500 and hits / missed > 0.8 and 1 - wrong / added >= 0.95
 
 
 def test_long_stretch_is_decoded_whole(net):
@@ -147,3 +147,35 @@ def test_redaction(spark, odd_docs, net):
     assert r["text"] == "mail [EMAIL] or call [PHONE], 10.0.0.256 [IP], [CARD]" and r["n_chars"] == len(r["text"])
     assert out.filter("doc_id = 2").head()["text"] is None
     assert pii.redacted("abcdef", [(0, 1, 3), (3, 2, 5)]) == "a[EMAIL]f"
+
+
+def test_numbers_made_of_the_same_digits_side_by_side(net):
+    """The same card twice in a row, written together, in groups or with hyphens: two spans each."""
+    for one in ("4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0000 0000 0004"):
+        text = f"pay {one} {one} now, word word"
+        base, more = pii.find(net, [text])[0]
+        assert sorted(base + more, key=lambda x: x[1]) == [(2, 4, 4 + len(one)), (2, 5 + len(one), 5 + 2 * len(one))]
+
+
+def test_parts_of_a_run_of_digits():
+    a, b = "4111 1111 1111 1111", "378282246310005"
+    text = f"x {a} {b} {a} y"
+    assert [text[s:e] for s, e in pii.parted(2, text, 2, len(text) - 2)] == [a, b, a]
+    assert pii.parted(2, "4111 1111 1111 1112 " + a, 0, 39) == [] and pii.parted(2, a, 0, 19) == [(0, 19)] and pii.parted(3, "1 2 3", 0, 5) == []
+
+
+def test_training_is_the_same_for_any_order_of_sums(monkeypatch):
+    """Weights are trained in double precision and rounded, so another order of adding up, as on another machine, gives the same digests."""
+    x, y = pii.generated(96)
+    y = y.astype(np.int64)
+    monkeypatch.setattr(pii, "PASSES", 2)
+    digest = lambda n: {k: hashlib.sha256(w.tobytes()).hexdigest() for k, w in n.p.items()}
+    first = digest(pii.Network.new().fit(x, y))
+    real = pii.Network.loss_and_gradient
+
+    def stirred(self, a, b):
+        loss, g = real(self, a[::-1], b[::-1])
+        return loss, {k: w * (1 + 2e-16 * np.random.default_rng(int(abs(loss) * 1e6)).normal(size=w.shape)) for k, w in g.items()}
+
+    monkeypatch.setattr(pii.Network, "loss_and_gradient", stirred)
+    assert digest(pii.Network.new().fit(x, y)) == first
