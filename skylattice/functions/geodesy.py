@@ -56,6 +56,12 @@ def geometric_range(sat: Triple, rcv: Triple) -> Column:
     return F.when(rs >= RE, distance(sat, rcv) + OMEGA * (sat[0] * rcv[1] - sat[1] * rcv[0]) / C)
 
 
+def elevation(lat: Column, lon: Column, d: Triple) -> Column:
+    """Elevation of the difference vector d over the ellipsoid's horizon at lat, lon; each part of d is used twice only."""
+    up = d[0] * F.cos(lat) * F.cos(lon) + d[1] * F.cos(lat) * F.sin(lon) + d[2] * F.sin(lat)
+    return F.asin(up / F.sqrt(sum(c * c for c in d)))
+
+
 def direction(enu: Triple) -> tuple[Column, Column]:
     """Azimuth in [0, 2 pi) and elevation of an east, north, up vector."""
     e, n, u = enu

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -21,8 +22,10 @@ def tables(spark, n=150, seed=3):
     return left, right, spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
 
 
+@pytest.mark.parametrize("few", [0, 12, 128])  # buckets all sorted together, of both ways, all by lists
 @pytest.mark.parametrize("before_only", [False, True])
-def test_nearest_in_time(spark, before_only):
+def test_nearest_in_time(spark, monkeypatch, before_only, few):
+    monkeypatch.setattr(timejoin, "FEW", few)
     left, right, a, b = tables(spark)
     want = []
     for k, t, name in left:
@@ -35,6 +38,26 @@ def test_nearest_in_time(spark, before_only):
     assert timejoin.nearest(a, b.limit(0), ["k"], "t", "at", 7.0, [F.col("rank")]).count() == 0
 
 
+def test_dense_bucket_takes_linear_time(spark):
+    """n rows a side in one bucket of one key: four times the rows take well under sixteen times the seconds."""
+    took = {}
+    for n in (8_000, 8_000, 32_000):  # the first one warms up
+        a = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 0.01).alias("t"))
+        b = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 0.01 + 0.003).alias("at"), F.lit(1).alias("rank"))
+        start = time.time()
+        got = timejoin.nearest(a, b, ["k"], "t", "at", 1000.0, [F.col("rank")]).agg(F.count("*").alias("n"), F.max(F.abs(F.col("t") - F.col("at"))).alias("gap")).head()
+        took[n] = time.time() - start
+        assert got["n"] == n and abs(got["gap"] - 0.003) < 1e-9
+    assert took[32_000] < 6 * took[8_000]
+
+
+def test_brackets_cross_buckets(spark):
+    rows = [("a", float(t), float(t * t)) for t in (0, 1, 9, 11, 19, 21, 40, 41)] + [("b", 5.0, 1.0)]
+    got = timejoin.brackets(spark.createDataFrame(rows, "k string, t double, v double"), ["k"], "t", ["v"], 10.0)
+    want = {("a", x, y if y - x <= 10 else None, y * y if y - x <= 10 else None) for x, y in itertools.pairwise([r[1] for r in rows if r[0] == "a"])} | {("a", 41.0, None, None), ("b", 5.0, None, None)}
+    assert {(r["k"], r["t"], r["next_t"], r["next_v"]) for r in got.collect()} == want
+
+
 def test_brackets(spark):
     left, right, a, b = tables(spark, 200, 4)
     at = {}

@@ -138,3 +138,72 @@ def test_receiver_correction_formats(spark):
 def test_earth_orientation(spark):
     got = tables.earth_orientation(spark.createDataFrame([("60000.0 100000 200000 -300000 12",), ("title line",)], "line string"), "line").collect()
     assert len(got) == 1 and abs(got[0]["xp"] - 0.1) < 1e-12 and abs(got[0]["ut1_utc"] + 0.03) < 1e-12
+
+
+def _obs_lines(first: int, last: int) -> list[str]:
+    rows = [(1.7e9 + 30 * t, f"G{s:02}", c, 2e7 + t * 10 + s, 0, 7) for t in range(first, last) for s in range(1, 7) for c in ("C1C", "L1C")]
+    return rinex.write_observations(rows)
+
+
+def _run(stream, path, name):
+    q = stream.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [p["numInputRows"] for p in q.recentProgress]
+
+
+@pytest.mark.parametrize("part", ["200", "100000"])
+def test_growing_observation_file_resumes(spark, tmp_path, part):
+    """A query that was stopped in the middle of an epoch goes on with what is new, by ranges that cut epochs anywhere."""
+    formats.register(spark)
+    (tmp_path / "obs").mkdir()
+    whole = "".join(v if v.endswith("\n") else v + "\n" for v in _obs_lines(0, 40)).encode()
+    path, cut = tmp_path / "obs" / "A.obs", len(whole) * 3 // 5 + 7
+    path.write_bytes(whole[:cut])
+    stream = lambda: spark.readStream.format("rinex_replay").option("part_bytes", part).load(str(tmp_path / "obs"))
+    first = sum(_run(stream(), tmp_path, "out"))
+    assert 0 < first < 40 * 12
+    path.write_bytes(whole)
+    second = sum(_run(stream(), tmp_path, "out"))
+    assert first + second == 40 * 12 and sum(_run(stream(), tmp_path, "out")) == 0
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert same(map(tuple, got.collect()), map(tuple, spark.read.format("rinex_obs").load(str(tmp_path / "obs")).collect()))
+
+
+def test_a_batch_reads_its_bytes_alone(tmp_path):
+    (tmp_path / "a.bin").write_bytes(bytes(range(256)) * 40)
+    (tmp_path / "b.bin").write_bytes(b"xyz")
+    r = formats.ByteReader({"path": f"file://{tmp_path}", "chunk": "100", "part_bytes": "1000"})
+    one = r.latestOffset()
+    assert sorted(one.values()) == [3, 10240]
+    parts = r.partitions({}, one)
+    assert len(parts) == 12 and sum(p.end - p.start for p in parts) == 10243
+    rows = [x for p in parts for x in r.read(p)]
+    assert b"".join(d for n, _, d in rows if n == 1) == bytes(range(256)) * 40 and [o for n, o, _ in rows if n == 1] == list(range(0, 10240, 100))
+    with open(tmp_path / "b.bin", "ab") as f:
+        f.write(b"more")
+    fresh = formats.ByteReader({"path": str(tmp_path), "chunk": "100"})
+    at = {k.removeprefix("file://"): v for k, v in one.items()}
+    assert [x for p in fresh.partitions(at, fresh.latestOffset()) for x in fresh.read(p)] == [(2, 3, b"more")]
+
+
+def test_old_observation_files_are_counted_by_lines(tmp_path):
+    """Version 2: the end of the last whole epoch, however the file is cut."""
+    head = [rinex._label("     2.11           OBSERVATION DATA    G (GPS)", "RINEX VERSION / TYPE"), rinex._label("     2    C1    L1", "# / TYPES OF OBSERV"), rinex._label("", "END OF HEADER")]
+    body = []
+    for t in range(5):
+        body.append(f" 24  1  1  0  0 {t * 10:10.7f}  0  3G01G02G03")
+        body += [f"{2e7 + t:14.3f}  {1e8 + t:14.3f}  " for _ in range(3)]
+    text = ("\n".join(head + body) + "\n").encode()
+    (tmp_path / "A.24o").write_bytes(text)
+    whole = formats.EpochReader({"path": str(tmp_path)})
+    end = whole.latestOffset()
+    assert list(end.values()) == [len(text)]
+    rows = [x for p in whole.partitions({}, end) for x in whole.read(p)]
+    assert len(rows) == 30
+    for cut in range(len(text) - 200, len(text)):
+        (tmp_path / "A.24o").write_bytes(text[:cut])
+        r = formats.EpochReader({"path": str(tmp_path)})
+        at = r.latestOffset()
+        (tmp_path / "A.24o").write_bytes(text)
+        again = [x for p in r.partitions({}, at) for x in r.read(p)] + [x for p in r.partitions(at, end) for x in r.read(p)]
+        assert sorted(again) == sorted(rows)
