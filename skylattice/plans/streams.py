@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_dir
+from ..operators.staging import _delete, shared_dir
 from ..streaming import processors
 from .registry import register
 from .surrogate import series, table
 
 
 def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    """A folder for a stream's state and rows in the shared folder; it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def _events(spark, sf_dir) -> DataFrame:
