@@ -50,6 +50,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    atexit.register(_delete, spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    _delete(spark, path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and a lost executor loses
     nothing. The table goes when the driver's Python ends."""
@@ -57,7 +66,7 @@ def staged(df: DataFrame) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -77,3 +77,14 @@ def test_odd_and_no_documents(spark, odd_docs, no_docs, tmp_path):
             bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         for one in map(sorted, bins.values()):
             assert all(at == sum(n for _, n in one[:i]) for i, (at, _) in enumerate(one)) and sum(n for _, n in one) <= 1024
+
+
+def test_only_the_last_table_stays(spark, monkeypatch):
+    """Tables of stages go once the next one is written."""
+    import os
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("quality", lambda s, d, f: d.filter("doc_id % 2 = 0")), ("mix", lambda s, d, f: d.filter("doc_id % 3 = 0")), ("pack", lambda s, d, f: d.select("doc_id"))])
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.count() > 0 and all(r["doc_id"] % 6 == 0 for r in got.collect())
+    folder = os.path.dirname(got.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(folder)) == ["2-pack"]
