@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import mixing, neardup, packing, pii, quality
-from skylattice.llm.common import shared_dir, table
+from skylattice.llm.common import delete, delete_at_end, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """A stage's table goes when the next one is written, the last one when the driver's Python ends."""
+    docs, base, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    delete_at_end(spark, base)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{base}/{k}-{name}")
-        docs = spark.read.parquet(out)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(out), out
     return docs
