@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import ambiguity, delaunay, orbits, positioning, relative, rtcm
+from ..kernels import ambiguity, orbits, positioning, relative, rtcm
 from .joins import _single
 from .registry import register
 from .surrogate import OBS, STA, obs, sta, table
-from ..operators import observations as ob
+from ..operators import observations as ob, triangulation
 from .joins import DD
 
 
@@ -176,16 +176,11 @@ t AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x - a.x AS
 d AS (SELECT *, 2 * (bx * cy - by_ * cx) AS d FROM t), u AS (SELECT *, (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / d AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / d AS uy FROM d WHERE abs(d) > 1e-12)
 SELECT a AS v0, b AS v1, c AS v2 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id NOT IN (u.a, u.b, u.c) AND (p.x - u.ax - u.ux) * (p.x - u.ax - u.ux) + (p.y - u.ay - u.uy) * (p.y - u.ay - u.uy) < (u.ux * u.ux + u.uy * u.uy) * (1 - 1e-12))""")
 def delaunay_network(spark, sf_dir) -> DataFrame:
-    """A network's stations are one group by nature (a triangulation is global); its table has a row a station."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        t = np.sort(ids[delaunay.triangulate(pdf[["x", "y"]].to_numpy())], axis=1)
-        return pd.DataFrame(t, columns=["v0", "v1", "v2"])
-
+    """Triangles of the stations, tile by tile; the twin tests all triples."""
     k = F.col("s_suppkey")
     p = table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 37 % 300) / 100e0 + F.sin(k) / 50).alias("x"), ((k * 73 % 400) / 100e0 + F.cos(k * 3) / 50).alias("y"))
-    return p.groupBy(F.lit(0).alias("network")).applyInPandas(lambda pdf: build(pdf), "v0 long, v1 long, v2 long")
+    v = F.array_sort(F.array("v0", "v1", "v2"))
+    return triangulation.triangles(p).select(*[v[i].alias(f"v{i}") for i in range(3)])
 
 
 @register("h02_frames", "SELECT user_id, count(*) AS n_frames, CAST(sum(octet_length(encode(props))) AS BIGINT) AS n_bytes FROM events GROUP BY user_id")
