@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import celestial
+from ..functions import celestial, loading
+from ..operators import timejoin
+from ..sources import tables
 from .baselines import GRAVITY, RADIUS, SPIN, TILT, circular
 from .registry import register
 from .surrogate import STA, sta, table
@@ -54,6 +56,43 @@ def tide_displacement(spark, sf_dir) -> DataFrame:
     return t.select("id", "h", *[(F.round(f"tide_{a}", 6) + 0e0).alias(f"d{a}") for a in "xyz"])
 
 
+def _hours(s: DataFrame) -> DataFrame:
+    return s.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).withColumn("ut", (F.col("id") * 86400 + F.col("h") * 7200).cast("double"))
+
+
+@register("g21_ocean_loading", f"""WITH {STA}, rows AS (SELECT id, h, CAST(id * 86400 + h * 7200 AS DOUBLE) + 43200 AS since FROM (SELECT id FROM sta0), (SELECT unnest(range(12)) AS h)),
+w(i, speed, a, b, c, turn) AS (VALUES (0, 1.40519e-4, 2, -2, 0, 0e0), (1, 1.45444e-4, 0, 0, 0, 0e0), (2, 1.37880e-4, 2, -3, 1, 0e0), (3, 1.45842e-4, 2, 0, 0, 0e0), (4, 0.72921e-4, 1, 0, 0, 0.25e0), (5, 0.67598e-4, 1, -2, 0, -0.25e0), (6, 0.72523e-4, -1, 0, 0, -0.25e0), (7, 0.64959e-4, 1, -3, 1, -0.25e0), (8, 0.53234e-5, 0, 2, 0, 0e0), (9, 0.26392e-5, 0, 1, -1, 0e0), (10, 0.03982e-5, 2, 0, 0, 0e0)),
+d AS (SELECT *, floor(since / 86400e0) AS day FROM rows), c AS (SELECT *, since - day * 86400e0 AS s, (27392.500528e0 + 1.000000035e0 * (day + 9132)) / 36525e0 AS t FROM d),
+m AS (SELECT *, radians(279.69668e0 + 36000.768930485e0 * t + 3.03e-4 * t * t) AS h0, radians(270.434358e0 + 481267.88314137e0 * t - 0.001133e0 * t * t + 1.9e-6 * t * t * t) AS s0, radians(334.329653e0 + 4069.0340329577e0 * t - 0.010325e0 * t * t - 1.2e-5 * t * t * t) AS p0 FROM c),
+g AS (SELECT id, h, i, speed * s + a * h0 + b * s0 + w.c * p0 + 2 * pi() * turn AS ang FROM m, w)
+SELECT id, h, {", ".join(f"round({s}sum((id % {k} + i + 1) / {v}e0 * cos(ang - radians((id * 13 + i * 29 + {r}) % 360 - 180))), 6) + 0e0 AS {n}" for n, s, k, v, r in (("east", "-", 5, 2000, 31), ("north", "-", 3, 4000, 62), ("up", "", 7, 1000, 0)))} FROM g GROUP BY id, h""")
+def ocean_loading(spark, sf_dir) -> DataFrame:
+    """Stations moved by the ocean's load, to the micrometre, from the text of a loading file (a block each) that is written and read here."""
+    s = sta(spark, sf_dir).select("id")
+    numbers = lambda form, f: F.concat(*[F.format_string(form, f(i)) for i in range(11)])
+    high = [numbers(" %10.7f", lambda i, k=k, v=v: (F.col("id") % k + i + 1) / float(v)) for k, v in ((7, 1000), (5, 2000), (3, 4000))]
+    late = [numbers(" %6.1f", lambda i, r=r: ((F.col("id") * 13 + i * 29 + r) % 360 - 180).cast("double")) for r in (0, 31, 62)]
+    text = [F.lit("$$ loading of one station"), F.concat(F.lit("  s"), F.col("id").cast("string")), *high[:1], F.lit("$$ west, south"), *high[1:], *late]
+    lines = s.select((F.col("id") % 16).alias("file"), F.col("id"), F.posexplode(F.array(*text)).alias("k", "line")).select("file", "line", (F.col("id") * 16 + F.col("k")).alias("at"))
+    waves = tables.ocean_loading(lines, "line", "at", "file")
+    got = loading.with_ocean_loading(_hours(s.join(waves, F.concat(F.lit("S"), F.col("id").cast("string")) == F.col("station"))), "ut", "waves")
+    return got.select("id", "h", *[(F.round(f"ocean_{c[0]}", 6) + 0e0).alias(c) for c in ("east", "north", "up")])
+
+
+@register("g21_pole_tide", f"""WITH {STA}, rows AS (SELECT id, h, radians(lat) AS la, radians(lon) AS lo, (CAST(id * 86400 + h * 7200 AS DOUBLE) + 43200) / 86400e0 AS d FROM (SELECT id, lat, lon FROM sta0), (SELECT unnest(range(12)) AS h)),
+e AS (SELECT s_suppkey AS day, (s_suppkey * 7919 % 400000) / 1e6 AS x, (s_suppkey * 104729 % 500000) / 1e6 AS y FROM supplier),
+v AS (SELECT r.*, a.x + (d - a.day) * (b.x - a.x) AS xp, a.y + (d - a.day) * (b.y - a.y) AS yp, d / 365.25e0 AS n FROM rows r JOIN e a ON a.day = floor(d) JOIN e b ON b.day = a.day + 1),
+m AS (SELECT *, xp - CASE WHEN d < 3653 THEN 55.974e0 + 1.8243e0 * n + 0.18413e0 * n * n + 0.007024e0 * n * n * n ELSE 23.513e0 + 7.6141e0 * n END / 1000 AS m1, CASE WHEN d < 3653 THEN 346.346e0 + 1.7896e0 * n - 0.10729e0 * n * n - 0.000908e0 * n * n * n ELSE 358.891e0 - 0.6287e0 * n END / 1000 - yp AS m2 FROM v)
+SELECT id, h, round(0.009e0 * sin(la) * (m1 * sin(lo) - m2 * cos(lo)), 6) + 0e0 AS east, round(-0.009e0 * cos(2 * la) * (m1 * cos(lo) + m2 * sin(lo)), 6) + 0e0 AS north, round(-0.033e0 * sin(2 * la) * (m1 * cos(lo) + m2 * sin(lo)), 6) + 0e0 AS up FROM m""")
+def pole_tide(spark, sf_dir) -> DataFrame:
+    """Stations moved by the pole's motion, its place between the days of an earth orientation table that is written and read here."""
+    k = F.col("s_suppkey")
+    line = F.format_string("%d.00 %d %d 0 0", k + 51544, k * 7919 % 400000, k * 104729 % 500000)
+    days = tables.earth_orientation(table(spark, sf_dir, "supplier").select(line.alias("line")), "line").withColumn("all", F.lit(0))
+    s = _hours(sta(spark, sf_dir).select("id", F.radians("lat").alias("lat"), F.radians("lon").alias("lon"), F.lit(0).alias("all")))
+    s = s.withColumn("mjd_at", (F.col("ut") + 43200.0) / 86400.0 + 51544.0)
+    got = loading.with_pole_tide(timejoin.interpolated(s, days, ["all"], "mjd_at", "mjd", ["xp", "yp"], 1.0), "ut", "lat", "lon", "xp", "yp")
+    return got.select("id", "h", *[(F.round(f"pole_{c[0]}", 6) + 0e0).alias(c) for c in ("east", "north", "up")])
 
 
 def _d(v: float) -> str:

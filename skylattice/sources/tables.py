@@ -1,4 +1,4 @@
-"""Small text tables: code biases, station positions, earth orientation, leap seconds, correction message logs, polygons."""
+"""Small text tables: code biases, station positions, ocean loading, earth orientation, leap seconds, correction message logs, polygons."""
 
 from __future__ import annotations
 
@@ -29,6 +29,27 @@ def station_positions(lines: DataFrame, line: str) -> DataFrame:
     return x.select(F.col("_f")[3].alias("name"), get(0).alias("lat"), get(1).alias("lon"), get(2).alias("height")).filter("lat IS NOT NULL AND lon IS NOT NULL AND height IS NOT NULL")
 
 
+#: Rows of a station's block in a loading file, in their order.
+LOADING = ("up", "west", "south", "up_lag", "west_lag", "south_lag")
+
+
+def ocean_loading(lines: DataFrame, line: str, order: str, file: str) -> DataFrame:
+    """station (upper case) and waves, an array of structs of LOADING, one for each of eleven constituents: metres and degrees. A block is a
+    line with the station's name and six lines of eleven numbers; `$$` lines are comments; shorter blocks are left out, and rows after
+    the sixth don't count. Of a file's blocks of one name the first stays."""
+    number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+    f = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    row = F.col(line).rlike(rf"^\s*{number}(?:\s+{number}){{10}}")
+    x = lines.filter(~F.col(line).startswith("$$") & (F.trim(line) != "")).withColumns({"_row": row, "_f": f})
+    above = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # a file has some thousand stations at most
+    x = x.withColumn("_block", F.last(F.when(~F.col("_row"), F.struct(F.col(order).alias("at"), F.upper(F.substring(F.col("_f")[0], 1, 16)).alias("name"))), ignorenulls=True).over(above))
+    rows = F.struct(F.col(order).alias("at"), F.transform(F.slice("_f", 1, 11), lambda v: v.try_cast("double")).alias("v"))
+    g = x.filter("_row AND _block IS NOT NULL").groupBy(F.col(file).alias("_file"), "_block").agg(F.sort_array(F.collect_list(rows)).alias("_r")).filter(F.size("_r") >= 6)
+    each = lambda i: F.struct(*[F.col("_r")[k]["v"][i].alias(n) for k, n in enumerate(LOADING)])
+    g = g.select("_file", "_block", F.array(*[each(i) for i in range(11)]).alias("waves"))
+    return g.groupBy("_file", F.col("_block.name").alias("station")).agg(F.min_by("waves", "_block.at").alias("waves")).drop("_file")
+
+
 def earth_orientation(lines: DataFrame, line: str) -> DataFrame:
     """mjd, xp, yp (arc seconds), ut1_utc (s), lod, by number fields of 1e-6 and 1e-7 units as in the service's tables."""
     f = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")

@@ -207,3 +207,18 @@ def test_old_observation_files_are_counted_by_lines(tmp_path):
         (tmp_path / "A.24o").write_bytes(text)
         again = [x for p in r.partitions({}, at) for x in r.read(p)] + [x for p in r.partitions(at, end) for x in r.read(p)]
         assert sorted(again) == sorted(rows)
+
+
+def test_ocean_loading_blocks(spark):
+    from skylattice.functions import loading
+    from skylattice.sources import tables
+
+    row = lambda v: " " + " ".join(f"{v + i / 10:.2f}" for i in range(11))
+    text = ["$$ file", "  onsa", "$$ complete", *[row(k) for k in range(6)], row(9), "", "  SHORT", row(1), "  ONSA", *[row(7)] * 6, " wtzr 11001", *["  " + " ".join([".00" + str(k)] * 11) for k in range(6)]]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)] + [("g", 3, row(2)), ("g", 5, "  ALONE")], "file string, at int, line string")
+    got = {r["station"]: r["waves"] for r in tables.ocean_loading(lines, "line", "at", "file").collect()}
+    assert set(got) == {"ONSA", "WTZR"} and len(got["ONSA"]) == len(loading.WAVES)
+    assert [got["ONSA"][3][n] for n in tables.LOADING] == [k + 0.3 for k in range(6)] and got["WTZR"][0]["south_lag"] == 0.005
+    assert tables.ocean_loading(lines.limit(0), "line", "at", "file").count() == 0
+    moved = loading.with_ocean_loading(spark.createDataFrame([(0.0, None)], "t double, waves array<struct<up:double,west:double,south:double,up_lag:double,west_lag:double,south_lag:double>>"), "t", "waves")
+    assert moved.head()["ocean_u"] is None
