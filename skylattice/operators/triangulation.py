@@ -146,7 +146,7 @@ def _ask(tile: int, shapes: np.ndarray, tiles: np.ndarray, boxes: np.ndarray) ->
     return [(k, np.array(v).tobytes()) for k, v in by.items()]
 
 
-def _triangles(tile: int, xy: np.ndarray, ids: np.ndarray, own: np.ndarray, t: np.ndarray) -> np.ndarray:
+def _triangles(xy: np.ndarray, ids: np.ndarray, own: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Ids of triangles, least first and then counter-clockwise, whose least id is an own point."""
     a, b, c = xy[t[:, 0]], xy[t[:, 1]], xy[t[:, 2]]
     longest = np.maximum(np.maximum(((b - a) ** 2).sum(axis=1), ((c - b) ** 2).sum(axis=1)), ((a - c) ** 2).sum(axis=1))
@@ -161,8 +161,6 @@ def triangles(points: DataFrame, most: int = MOST) -> DataFrame:
     tiles, boxes, counts = np.array([r[0] for r in rows], np.int64), np.array([tuple(r)[1:5] for r in rows], float).reshape(-1, 4), [r[5] for r in rows]
     where = {int(t): i for i, t in enumerate(tiles)}
     held = p.sparkSession.sparkContext.broadcast((tiles, boxes, counts, where))
-    # A tile's points as one row: what is asked of it comes to them by a join, which adaptive execution splits where many ask one tile.
-    packed = staged(p.groupBy("tile").agg(F.collect_list(F.struct("id", "x", "y")).alias("rows")).select(F.col("tile").alias("asked"), "rows"))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tiles, boxes, counts, where = held.value
@@ -188,10 +186,18 @@ def triangles(points: DataFrame, most: int = MOST) -> DataFrame:
         t, border = delaunay.with_border(xy - centre)
         shapes = _questions(xy, own, _wide(boxes[where[tile]], counts[where[tile]]), t, border)
         asks = pd.DataFrame(_ask(tile, shapes, tiles, boxes), columns=["asked", "shapes"])
-        v = _triangles(tile, xy - centre, ids, own, t)
+        v = _triangles(xy - centre, ids, own, t)
         out = pd.concat([asks.assign(kind=0), pd.DataFrame(v, columns=["v0", "v1", "v2"]).assign(kind=1)], ignore_index=True)
         return pd.DataFrame({"tile": tile, "kind": out["kind"], "asked": out["asked"].astype("Int64"), "shapes": out["shapes"].astype(object).where(out["shapes"].notna(), None), **{c: out[c].astype("Int64") for c in ("v0", "v1", "v2")}})
 
+    pick = lambda steps: steps.filter("kind = 1").select("v0", "v1", "v2")
+    own = p.withColumn("own", F.lit(True))
+    if len(tiles) < 2:  # nobody to ask
+        return pick(own.groupBy("tile").applyInPandas(step, STEP))
+
+    # A tile's points as one row: what is asked of it comes to them by a join, which adaptive execution splits where many ask one tile.
+    packed = staged(p.groupBy("tile").agg(F.collect_list(F.struct("id", "x", "y")).alias("rows")).select(F.col("tile").alias("asked"), "rows"))
+
     def hear(asks: DataFrame) -> DataFrame:
         return asks.join(packed, "asked").select("tile", "shapes", "rows").mapInPandas(answer, FOUND).dropDuplicates(["tile", "id"])
 
@@ -201,11 +207,11 @@ def triangles(points: DataFrame, most: int = MOST) -> DataFrame:
     heard = staged(hear(active.mapInPandas(first, ASK)))
     done = None
     while True:
-        known = p.withColumn("own", F.lit(True)).unionByName(heard.withColumn("own", F.lit(False))).join(active, "tile", "left_semi")
+        known = own.unionByName(heard.withColumn("own", F.lit(False))).join(active, "tile", "left_semi")
         now = staged(known.repartition(tasks, "tile").groupBy("tile").applyInPandas(step, STEP))
         new = staged(hear(now.filter("kind = 0").select("tile", "asked", "shapes")).join(heard, ["tile", "id"], "left_anti").select("tile", "id", "x", "y"))
         active = new.select("tile").distinct()
-        final = now.filter("kind = 1").join(active, "tile", "left_anti").select("v0", "v1", "v2")
+        final = pick(now.join(active, "tile", "left_anti"))
         done = final if done is None else done.unionByName(final)
         if new.isEmpty():
             return done
