@@ -110,6 +110,32 @@ def test_nearest_in_space(spark):
     assert sorted((r["lid"], r["rank"], r["rid"]) for r in got) == want
 
 
+@pytest.mark.parametrize("group", [7, 20_000])
+def test_nearest_in_space_where_cells_are_split(spark, monkeypatch, group):
+    monkeypatch.setattr(spatial, "GROUP", group)
+    rng = np.random.default_rng(2)
+    p, q = rng.integers(0, 4, (90, 3)) * 10.0, np.concatenate([rng.integers(0, 4, (120, 3)) * 10.0 + 3.0, np.full((40, 3), 500.0)])  # copies and ties on both sides
+    left = spark.createDataFrame([*((i, *map(float, x)) for i, x in enumerate(p)), (900, None, 1.0, 1.0), (901, float("nan"), 1.0, 1.0)], "lid long, lx double, ly double, lz double")
+    right = spark.createDataFrame([*((i, *map(float, x)) for i, x in enumerate(q)), (900, float("nan"), 1.0, 1.0), (901, 1.0, None, 1.0)], "rid long, rx double, ry double, rz double")
+    got = spatial.nearest(left, right, "lid", "rid", ("lx", "ly", "lz"), ("rx", "ry", "rz"), 4, 15.0, 20_000.0).collect()
+    want = [(i, r, j, d) for i, x in enumerate(p) for r, (d, j) in enumerate(sorted((float(((x - y) ** 2).sum()), j) for j, y in enumerate(q))[:4], 1)]
+    assert sorted((r["lid"], r["rank"], r["rid"], r["d2"]) for r in got) == want
+
+
+def test_nearest_in_one_crowded_cell(spark):
+    """Without all pairs: 16 * 10^8 here."""
+    n = 40_000
+    rows = spark.range(n).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / 1e3).alias(c) for i, c in enumerate("abc")])
+    left = rows.select(F.col("id").alias("lid"), F.col("a").alias("lx"), F.col("b").alias("ly"), F.col("c").alias("lz"))
+    right = rows.select(F.col("id").alias("rid"), (F.col("b") + 1.0).alias("rx"), F.col("a").alias("ry"), F.col("c").alias("rz"))
+    got = spatial.nearest(left, right, "lid", "rid", ("lx", "ly", "lz"), ("rx", "ry", "rz"), 2, 40_000.0, 80_000.0).toPandas()
+    assert len(got) == 2 * n
+    q = right.toPandas()
+    for _, g in got[got["lid"] % 997 == 0].groupby("lid"):
+        d2 = sum((q[f"r{c}"] - g[f"l{c}"].iloc[0]) ** 2 for c in "xyz")
+        assert np.allclose(sorted(g["d2"]), np.sort(d2)[:2], rtol=1e-12)
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *_):
