@@ -22,16 +22,22 @@ def _around(df: DataFrame, xyz: tuple[str, str, str], size: float) -> DataFrame:
     return df
 
 
+#: Rows of left that a part of a cell holds in radius_pairs(), on average.
+PART = 500
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, lx: tuple[str, str, str], rx: tuple[str, str, str], radius: float) -> DataFrame:
-    """All pairs at most radius apart, with d2, the squared distance. Column names of both sides must differ."""
+    """All pairs at most radius apart, with d2, the squared distance. Column names of both sides must differ. Cells with many rows of
+    left are dealt to many tasks, as every row may have many partners."""
+    cells = ["_c0", "_c1", "_c2"]
     a = left.select("*", *_cells(lx, radius))
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    b = right.select("*", *[c.alias(f"_r{i}") for i, c in enumerate(_cells(rx, radius))])
-    for i in range(3):
-        b = b.withColumn("_s", step).withColumn(f"_c{i}", F.col(f"_r{i}") + F.col("_s")).drop("_s", f"_r{i}")
+    n = a.groupBy(cells).agg(F.ceil(F.count("*") / PART).cast("int").alias("_n"))
+    a = a.join(n, cells).withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("_n")).cast("int")).drop("_n")
+    b = _around(right, rx, radius).join(n, cells).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     d2 = sum((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(lx, rx, strict=True))
-    cells = ["_c0", "_c1", "_c2"]
-    return a.join(b, cells).drop(*cells).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    by = [*cells, "_part"]
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as the pairs are many more than the rows
+    return a.repartition(tasks, *by).join(b.repartition(tasks, *by), by).drop(*by).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
 #: Rows of a side that a task's group of nearest() holds at most, on average; cells with more are split by hash.

@@ -136,6 +136,14 @@ def test_nearest_in_one_crowded_cell(spark):
         assert np.allclose(sorted(g["d2"]), np.sort(d2)[:2], rtol=1e-12)
 
 
+def test_radius_pairs_deal_a_crowded_cell(spark):
+    rows = spark.range(1300).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / 1e5).alias(c) for i, c in enumerate("xyz")])
+    left = rows.select(F.col("id").alias("lid"), *[F.col(c).alias(f"l{c}") for c in "xyz"])
+    got = spatial.radius_pairs(left, rows, ("lx", "ly", "lz"), ("x", "y", "z"), 30.0).withColumn("task", F.spark_partition_id())
+    n = got.groupBy("task").count().toPandas()["count"]
+    assert n.sum() == 1300 * 1300 and len(n) > 1 and n.max() < n.sum()  # one cell, several tasks
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *_):
