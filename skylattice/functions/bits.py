@@ -10,13 +10,8 @@ CRC24Q, CRC32 = 0x1864CFB, 0xEDB88320
 
 
 def octets(data: Column) -> Column:
-    """Array of a binary column's bytes, 0 to 255."""
-    h = F.hex(data)
-    return F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-
-
-def _bytes_or_none(data: Column) -> Column:
-    return F.when(F.octet_length(data) > 0, octets(data)).otherwise(F.array().cast("array<long>"))
+    """Array of a binary column's bytes, 0 to 255. The data are read once, not again for each byte, as they may be a long expression."""
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1), lambda b: F.conv(b, 16, 10).cast("long"))
 
 
 def crc24q(data: Column) -> Column:
@@ -25,7 +20,7 @@ def crc24q(data: Column) -> Column:
         bit = lambda c, _: F.when(F.shiftleft(c, 1).bitwiseAND(F.lit(1 << 24)) != 0, F.shiftleft(c, 1).bitwiseXOR(F.lit(CRC24Q))).otherwise(F.shiftleft(c, 1))
         return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc, bit)
 
-    return F.aggregate(_bytes_or_none(data), F.lit(0).cast("long"), byte)
+    return F.aggregate(octets(data), F.lit(0).cast("long"), byte)
 
 
 def crc32_plain(data: Column) -> Column:
@@ -36,12 +31,12 @@ def crc32_plain(data: Column) -> Column:
         bit = lambda c, _: F.when(c.bitwiseAND(F.lit(1)) == 1, F.shiftright(c, 1).bitwiseXOR(F.lit(CRC32))).otherwise(F.shiftright(c, 1))
         return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc, bit)
 
-    return F.aggregate(_bytes_or_none(data), F.lit(0).cast("long"), byte)
+    return F.aggregate(octets(data), F.lit(0).cast("long"), byte)
 
 
 def xor_checksum(text: Column) -> Column:
     """Two upper-case hex digits: exclusive or of all bytes, as sentences of receivers end with."""
-    x = F.aggregate(_bytes_or_none(F.encode(text, "utf-8")), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    x = F.aggregate(octets(F.encode(text, "utf-8")), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     return F.lpad(F.hex(x), 2, "0")
 
 

@@ -144,6 +144,22 @@ def test_radius_pairs_deal_a_crowded_cell(spark):
     assert n.sum() == 1300 * 1300 and len(n) > 1 and n.max() < n.sum()  # one cell, several tasks
 
 
+def test_octets_read_their_data_once(spark):
+    from skylattice.functions import bits
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    got = spark.createDataFrame([(bytes(range(256)),), (b"",), (None,)], "b binary").select(bits.octets(counted("b")).alias("o")).collect()
+    assert [r["o"] for r in got] == [list(range(256)), [], None]
+    assert calls.value <= 6
+    assert spark.range(1).select(bits.xor_checksum(F.lit("")).alias("x"), bits.crc24q(F.lit(b"123456789")).alias("c")).head() == ("00", 0xCDE703)
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *_):
