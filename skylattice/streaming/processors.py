@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,13 +44,23 @@ def gate(times: np.ndarray, last: float | None, pause: float) -> tuple[np.ndarra
 
 
 def throttled(df: DataFrame, key: str, t: str, pause: float) -> DataFrame:
-    """Rows that pass the gate of their key; streaming and batch."""
+    """Rows that pass the gate of their key; streaming and batch. In batch a task passes once over its sorted keys, as many have few rows."""
     if not df.isStreaming:
-        def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(list(dict.fromkeys([t, *sorted(pdf.columns)])))
-            return pdf[gate(pdf[t].to_numpy(), None, pause)[0]]
-
-        return df.groupBy(key).applyInPandas(batch, df.schema)
+        def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, now = None, ()
+            for some in batches:
+                passed = np.zeros(some.num_rows, bool)
+                times = some.column(t).to_numpy(zero_copy_only=False).tolist()
+                for i, (k, at) in enumerate(zip(some.column(key).to_pylist(), times, strict=True)):
+                    k = (k if k == k else "nan",)
+                    if k != now:
+                        now, last = k, None
+                    if last is None or at - last >= pause:
+                        passed[i], last = True, at
+                yield some.filter(pa.array(passed))
+
+        order = list(dict.fromkeys([key, t, *sorted(df.columns)]))
+        return df.repartition(key).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]).mapInArrow(batch, df.schema)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.kernels import ambiguity, orbits
+from skylattice.streaming import processors
 from skylattice.operators import spatial, staging, timejoin
 
 LEFT, RIGHT = "k string, t double, name string", "k string, at double, rank long, value double"
@@ -160,6 +161,19 @@ def test_octets_read_their_data_once(spark):
     assert spark.range(1).select(bits.xor_checksum(F.lit("")).alias("x"), bits.crc24q(F.lit(b"123456789")).alias("c")).head() == ("00", 0xCDE703)
 
 
+def test_throttled_in_batch_passes_once_over_many_keys(spark):
+    rows = [(k, float(t), t % 3) for k in [None, *range(40)] for t in sorted({(7 * (k or 0) + 13 * i * i) % 300 for i in range(30)})]
+    df = spark.createDataFrame(rows, "k long, t double, x long")
+    got = processors.throttled(df, "k", "t", 50.0)
+    want, last = [], {}
+    for k, t, x in sorted(rows, key=lambda r: r[1]):
+        if k not in last or t - last[k] >= 50.0:
+            last[k] = t
+            want.append((k, t, x))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a group for each key cost a millisecond
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Conf:
         def get(self, *_):
