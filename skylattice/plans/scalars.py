@@ -61,7 +61,7 @@ def checksums(spark, sf_dir) -> DataFrame:
 
 @register("g06_base64", "SELECT page_id, to_base64(encode(url)) AS b64, decode(from_base64(to_base64(encode(url)))) AS back FROM pages")
 def base64(spark, sf_dir) -> DataFrame:
-    b = F.base64(F.encode("url", "utf-8"))
+    b = F.regexp_replace(F.base64(F.encode("url", "utf-8")), "\\s", "")  # in one line, however long
     return table(spark, sf_dir, "pages").select("page_id", b.alias("b64"), F.decode(F.unbase64(b), "utf-8").alias("back"))
 
 

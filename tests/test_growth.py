@@ -26,3 +26,8 @@ def changed(spark, tmp_path, table, df):
 def test_view_deals_pairs_to_many_tasks(spark):
     n = scalars._view(spark, SMALL).groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert len(n) > 4
+
+
+def test_base64_of_long_addresses(spark, tmp_path):
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.concat(F.lit("https://"), F.repeat(F.lit("ab"), F.col("id").cast("int") * 60)).alias("url"))
+    same(spark, *changed(spark, tmp_path, "pages", pages)[:1], "g06_base64", str(tmp_path))
