@@ -42,3 +42,8 @@ def test_orbits_of_many_rows_at_once():
     s = np.column_stack([np.linspace(1.2e7, 1.5e7, 5), np.linspace(2.0e7, 1.8e7, 5), np.full(5, 1e7), np.full(5, -1e3), np.full(5, 500.0), np.full(5, 3e3)])
     together = orbits.glonass_position(s, np.zeros(3), 900.0)
     assert np.allclose(together, [orbits.glonass_position(x, np.zeros(3), 900.0) for x in s], rtol=0, atol=1e-6)
+
+
+def test_navigation_files_have_bounded_ranges(spark, monkeypatch):
+    monkeypatch.setattr(files, "ISSUES", 100)
+    same(spark, connect(), "a03_navigation_file", SMALL)
