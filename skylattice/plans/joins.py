@@ -226,7 +226,7 @@ def receiver_antenna(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
     word = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
     k = p.select("p_brand", word("p_name").alias("a"), word("p_type").alias("r")).distinct()
-    t = p.select(word("p_name").alias("a"), "p_partkey", "p_type").distinct()
+    t = p.groupBy(word("p_name").alias("a"), "p_type").agg(F.min("p_partkey").alias("p_partkey"))  # of equal ones only the first in the file can be the answer
     rank = F.struct(F.when(F.contains("p_type", "r"), 0).otherwise(1), F.col("p_partkey"))
     return k.join(t, "a").groupBy("p_brand", "a", "r").agg(F.min_by("p_partkey", rank).alias("antenna"))
 

@@ -47,3 +47,11 @@ def test_orbits_of_many_rows_at_once():
 def test_navigation_files_have_bounded_ranges(spark, monkeypatch):
     monkeypatch.setattr(files, "ISSUES", 100)
     same(spark, connect(), "a03_navigation_file", SMALL)
+
+
+def test_antennas_of_one_type_meet_once(spark, tmp_path):
+    p = spark.range(4000).select(F.col("id").alias("p_partkey"), F.lit("word one").alias("p_name"), F.concat(F.lit("B"), F.col("id") % 3).alias("p_brand"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("ab", "abc", "x"))), (F.col("id") % 3 + 1).cast("int")), F.lit("T")).alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    con, folder = changed(spark, tmp_path, "part", p)
+    same(spark, con, "c18_receiver_antenna", folder)
+    plan = joins.receiver_antenna(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(p_partkey" in plan
