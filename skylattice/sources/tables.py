@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.orbit import once
+
 NS = 299792458.0 * 1e-9
 
 
@@ -77,12 +79,14 @@ def correction_log(lines: DataFrame, line: str, prn: int = 0) -> DataFrame:
     pick = lambda a, i: F.try_element_at(a, F.lit(i))
     four = F.col(line).startswith("#RAWWAASFRAMEA")
     three = F.col(line).startswith("$FRMA")
+    lines = lines.select(once(F.col(line)).alias(line))  # fields and filter use it many times
     x = lines.select(
         F.when(four, pick(head, 6)).when(three, pick(old, 2)).otherwise(pick(own, 1)).try_cast("int").alias("week"),
         F.when(four, pick(head, 7)).when(three, pick(old, 3)).otherwise(pick(own, 2)).try_cast("double").cast("long").alias("tow"),
         F.when(four, pick(tail, 2)).when(three, pick(old, 4)).otherwise(pick(own, 3)).try_cast("int").alias("prn"),
         F.when(four, pick(tail, 4)).when(three, F.regexp_replace(pick(old, 6), r"\*.*", "")).otherwise(hexes).alias("hex"),
     )
+    x = x.select(once(F.struct("week", "tow", "prn", "hex")).alias("_x")).select("_x.*")
     x = x.filter("week IS NOT NULL AND tow IS NOT NULL AND prn IS NOT NULL AND length(hex) >= 56").withColumn("msg", F.unhex(F.rpad(F.substring("hex", 1, 58), 58, "0"))).drop("hex")
     return x.filter(F.col("prn") == prn) if prn else x
 

@@ -67,3 +67,9 @@ def test_antennas_of_one_type_meet_once(spark, tmp_path):
     same(spark, con, "c18_receiver_antenna", folder)
     plan = joins.receiver_antenna(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "min(p_partkey" in plan
+
+
+def test_correction_lines_are_made_once(spark):
+    df = catalog.QUERIES["a10_correction_log"](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
+    same(spark, connect(), "a10_correction_log", SMALL)
