@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.kernels import orbits
-from skylattice.plans import catalog, files, joins, scalars
+from skylattice.functions import orbit
+from skylattice.kernels import ambiguity, orbits
+from skylattice.plans import baselines, catalog, files, joins, scalars
+from skylattice.plans.surrogate import sta
 
 from .compare import SMALL, connect, rows
 
@@ -78,3 +80,28 @@ def test_correction_lines_are_made_once(spark):
     df = catalog.QUERIES["a10_correction_log"](spark, SMALL)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 1
     same(spark, connect(), "a10_correction_log", SMALL)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_satellites_and_observations_are_compiled(spark):
+    s = sta(spark, SMALL).select(F.col("id").alias("srcid"), "x", "y", "z")
+    made = plan(baselines.band_observations(s))
+    assert "lambdafunction" not in made and "collect_list" not in made
+    eph = baselines.circular_ephemerides(spark).select("sat", F.struct(*orbit.ELEMENTS).alias("e"), (F.col("toe") + 100).alias("t"))
+    assert "lambdafunction" not in plan(orbit.with_satellite(eph, "e", "t", "s"))
+    got = orbit.with_satellite(eph, "e", "t", "s").withColumn("o", orbit.satellite(F.col("e"), F.col("t"))).filter("sx != o.x OR sy != o.y OR sz != o.z OR sclock != o.clock")
+    assert not got.count()
+
+
+def test_reduction_keeps_the_lattice():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 24):
+        a = rng.normal(size=(n, n + 2)) * np.exp(rng.uniform(-6, 6, (n, 1)))
+        r = ambiguity.basis(a @ a.T + np.eye(n) * 1e-6)
+        b, z = ambiguity.reduced(r)
+        assert np.allclose(b.T @ b, z.T @ r.T @ r @ z, rtol=1e-6, atol=1e-9 * np.abs(r.T @ r).max()) and round(abs(np.linalg.det(z))) == 1
+        own, beside = np.diag(b) ** 2, np.diag(b, 1) ** 2
+        assert (np.abs(np.triu(b, 1)) <= 0.5001 * np.abs(np.diag(b))[:, None]).all() and (0.989 * own[:-1] <= own[1:] + beside).all()
