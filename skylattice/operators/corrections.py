@@ -45,24 +45,24 @@ def _unit(a: tuple[Column, ...]) -> tuple[Column, ...]:
     return tuple(c / n for c in a)
 
 
-def corrected(eph: Column, m: Column, sent: Column) -> Column:
-    """Struct x, y, z, clock (s) at time `sent` by the ephemeris (a struct of ELEMENTS) and the matched row m (a struct); null where the correction
-    is longer than corrections may be."""
-    age = lambda t0, udi: sent - m[t0] - F.when(m[udi] >= 1, m[udi] / 2).otherwise(0.0)
-    a, b = age("orbit_t0", "orbit_udi"), age("t0", "clock_udi")
-    shift = [m["shift"][i] + m["shift"][3 + i] * a for i in range(3)]
-    drift = m["drift"][0] + b * (m["drift"][1] + b * m["drift"][2])
+def with_corrected(df: DataFrame, eph: str, m: Column, sent: str) -> DataFrame:
+    """df with struct _s (x, y, z, clock in s) at time `sent` by the ephemeris (a column, struct of ELEMENTS) and the matched row m (a struct);
+    null where the correction is longer than corrections may be."""
+    kept, when = df.columns, F.col(sent)
+    df = orbit.with_satellite(df.withColumns({"_lt": when - 1.0, "_nt": when + 1.0}), eph, {"_l": "_lt", "_h": sent, "_n": "_nt"})
+    age = lambda t0, udi: when - m[t0] - F.when(m[udi] >= 1, m[udi] / 2).otherwise(0.0)
+    df = df.withColumns({"_a": age("orbit_t0", "orbit_udi"), "_b": age("t0", "clock_udi")})
+    a, b = F.col("_a"), F.col("_b")
+    df = df.withColumns({f"_d{i}": m["shift"][i] + m["shift"][3 + i] * a for i in range(3)} | {"_drift": m["drift"][0] + b * (m["drift"][1] + b * m["drift"][2])})
+    shift, drift = [F.col(f"_d{i}") for i in range(3)], F.col("_drift")
     fits = (F.sqrt(sum(v * v for v in shift)) <= MOST_ORBIT) & (F.abs(drift) <= MOST_CLOCK)
-
-    def placed(s: Column) -> Column:
-        at, speed = tuple(s["at"][c] for c in "xyz"), tuple((s["next"][c] - s["last"][c]) / 2 for c in "xyz")
-        along, across = _unit(speed), _unit(_cross(at, speed))
-        axes = (_cross(along, across), along, across)
-        moved = [p - sum(axis[i] * d for axis, d in zip(axes, shift, strict=True)) for i, p in enumerate(at)]
-        return F.struct(*[v.alias(c) for c, v in zip("xyz", moved, strict=True)], (s["at"]["clock"] + drift / geodesy.C).alias("clock"))
-
-    three = F.struct(orbit.satellite(eph, sent - 1.0).alias("last"), orbit.satellite(eph, sent).alias("at"), orbit.satellite(eph, sent + 1.0).alias("next"))
-    return F.when(fits, orbit.let(three, placed))
+    at, speed = tuple(F.col(f"_h{c}") for c in "xyz"), tuple((F.col(f"_n{c}") - F.col(f"_l{c}")) / 2 for c in "xyz")
+    df = df.withColumns({f"_{n}{i}": v for n, axis in (("along", _unit(speed)), ("across", _unit(_cross(at, speed)))) for i, v in enumerate(axis)})
+    along, across = (tuple(F.col(f"_{n}{i}") for i in range(3)) for n in ("along", "across"))
+    axes = (_cross(along, across), along, across)
+    moved = [p - sum(axis[i] * d for axis, d in zip(axes, shift, strict=True)) for i, p in enumerate(at)]
+    placed = F.struct(*[v.alias(c) for c, v in zip("xyz", moved, strict=True)], (F.col("_hclock") + drift / geodesy.C).alias("clock"))
+    return df.select(*kept, orbit.once(F.when(fits, placed)).alias("_s"))
 
 
 def with_corrected_satellites(obs: DataFrame, matched: DataFrame) -> DataFrame:
@@ -72,9 +72,8 @@ def with_corrected_satellites(obs: DataFrame, matched: DataFrame) -> DataFrame:
     eph = F.struct(*[F.col("elements")[i].alias(c) for i, c in enumerate(orbit.ELEMENTS)])
     m = F.struct(*[c.split()[0] for c in MATCHED.split(", ") if not c.startswith(("sat ", "elements"))])
     x = x.withColumns({"_e": eph, "_m": m}).filter(F.col("t") - F.col("orbit_t0") <= AGE)
-    sent = F.col("t") - F.col("p") / geodesy.C
-    at = orbit.let(sent - orbit.clock(F.col("_e"), sent), lambda at: corrected(F.col("_e"), F.col("_m"), at))
-    x = x.select(*obs.columns, orbit.once(at).alias("_s")).filter("_s IS NOT NULL")
+    x = x.withColumn("_at", F.col("t") - F.col("p") / geodesy.C).withColumn("_sent", F.col("_at") - orbit.clock(F.col("_e"), F.col("_at")))
+    x = with_corrected(x.select(*obs.columns, "_e", "_m", "_sent"), "_e", F.col("_m"), "_sent").filter("_s IS NOT NULL")
     return x.select(*obs.columns, *[F.col(f"_s.{c}").alias(f"s{c}") for c in "xyz"], (F.col("_s.clock") * geodesy.C).alias("sclock"))
 
 

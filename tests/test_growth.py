@@ -91,8 +91,8 @@ def test_satellites_and_observations_are_compiled(spark):
     made = plan(baselines.band_observations(s))
     assert "lambdafunction" not in made and "collect_list" not in made
     eph = baselines.circular_ephemerides(spark).select("sat", F.struct(*orbit.ELEMENTS).alias("e"), (F.col("toe") + 100).alias("t"))
-    assert "lambdafunction" not in plan(orbit.with_satellite(eph, "e", "t", "s"))
-    got = orbit.with_satellite(eph, "e", "t", "s").withColumn("o", orbit.satellite(F.col("e"), F.col("t"))).filter("sx != o.x OR sy != o.y OR sz != o.z OR sclock != o.clock")
+    assert "lambdafunction" not in plan(orbit.with_satellite(eph, "e", {"s": "t"}))
+    got = orbit.with_satellite(eph, "e", {"s": "t"}).withColumn("o", orbit.satellite(F.col("e"), F.col("t"))).filter("sx != o.x OR sy != o.y OR sz != o.z OR sclock != o.clock")
     assert not got.count()
 
 
