@@ -277,3 +277,24 @@ def test_positions_skip_what_they_cannot_use(spark):
     want = {r["srcid"]: r for r in pointing.single_points(obs, eph).collect()}
     assert set(want) == {1, 2} and all(abs(got[i][c] - want[i][c]) < 1e-4 for i in want for c in "xyz") and 9 not in got
     assert pointing.single_points(obs.limit(0), eph).count() == 0
+
+
+def test_observations_of_the_chain_keep_their_own_light_time(spark, tmp_path):
+    """Each range is what its satellite's place and clock at the time of sending give, to a millionth of a metre; a further round changes nothing."""
+    from skylattice.plans import chain
+
+    spark.createDataFrame([(7, 1234.5), (8, -20.25)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    three = {(r.srcid, r.t, r.sat): r.p for r in chain.observations(spark, str(tmp_path)).collect()}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chain, "ROUNDS", 4)
+        four = {(r.srcid, r.t, r.sat): r.p for r in chain.observations(spark, str(tmp_path)).collect()}
+    assert three.keys() == four.keys() and len(three) > 30
+    assert max(abs(three[k] - four[k]) for k in three) < 1e-6
+
+
+def test_solver_takes_epochs_of_no_rows_and_of_null(spark):
+    from skylattice.operators import pointing
+
+    kind = "srcid long, t double, o array<struct<sat: long, p: double, sx: double, sy: double, sz: double, sclock: double, delay: double, weight: double>>"
+    got = pointing.solved(spark.createDataFrame([(1, 0.0, []), (2, 0.0, None), (3, 0.0, [(1, 2e7, 2.6e7, 0.0, 0.0, 0.0, 0.0, 1.0)])], kind)).collect()
+    assert [(r.srcid, r.x, r.rms, r.n) for r in sorted(got, key=lambda r: r.srcid)] == [(1, None, None, 0), (2, None, None, 0), (3, None, None, 1)]
