@@ -23,14 +23,10 @@ class Life(StatefulProcessor):
         self.life = handle.getValueState("life", "last long, silent boolean, attempt int")  # exists while the name is there
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for pdf in rows:
-            for at, kind in zip(pdf["at"], pdf["kind"], strict=True):
-                if kind in ORDER:
-                    self.waiting.appendValue((int(at), ORDER[kind]))
-                    first = min(int(at), first or int(at))
-        if first is not None:
-            self.handle.registerTimer(first)
+        new = [(int(at), ORDER[kind]) for pdf in rows for at, kind in zip(pdf["at"], pdf["kind"], strict=True) if kind in ORDER]
+        if new:
+            self.waiting.appendList(new)  # one call, not one for each row
+            self.handle.registerTimer(min(at for at, _ in new))
         return iter(())
 
     def _deadline(self, life: tuple | None) -> int | None:
@@ -67,9 +63,10 @@ class Life(StatefulProcessor):
                 out.append((key[0], due, "retry" if silent else "silent", life[2]))
             else:
                 break
-        self.waiting.clear()
         if queue[k:]:
             self.waiting.put(queue[k:])
+        else:
+            self.waiting.clear()
         if life is None:
             self.life.clear()
         else:
@@ -77,7 +74,7 @@ class Life(StatefulProcessor):
         ahead = [t for t in (due, row[0] if row else None) if t is not None]
         if ahead:
             self.handle.registerTimer(min(ahead))
-        yield pd.DataFrame(out, columns=COLUMNS)
+        return iter([pd.DataFrame(out, columns=COLUMNS)] if out else ())
 
     def close(self) -> None:
         pass
