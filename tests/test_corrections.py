@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,72 @@ def test_life_of_a_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame([(77, end, "data")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         got = q()
     assert sorted(map(tuple, got.collect())) == life(rows) and 0 < first < got.count()
+
+
+class Counted:
+    """A list state, or the handle that gives it, which counts the calls that go to the state store."""
+
+    def __init__(self):
+        self.calls, self.rows, self.lists, self.timers = 0, [], {}, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.lists.setdefault(name, Counted())
+
+    getMapState = getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def appendValue(self, row):  # noqa: N802
+        self.appendList([row])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.appendList([(*key, *value)])
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, []
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_a_batch_of_corrections_is_one_call_for_each_list(spark):
+    """However many rows a satellite has in a batch; one timer decides all clock rows that are due, and what is too old goes."""
+    kinds = ["ephemeris", "orbit", "clock"]
+    pdf = pd.DataFrame([{"kind": kinds[i % 3], "t0": float(i), "iod": 1, "iode": 4, "numbers": [float(i)], "udi": 0.0} for i in range(300)])
+    m, handle = stream.Matcher(10.0), Counted()
+    m.init(handle)
+    list(m.handleInputRows((5,), iter([pdf, pdf]), At(0)))  # all rows come twice
+    assert [s.calls for s in handle.lists.values()] == [1, 1, 1] and handle.timers == [12_000]
+    got = pd.concat(m.handleExpiredTimer((5,), At(200_000), None))
+    assert list(got["t0"]) == [float(t) for t in range(2, 191, 3)]
+    assert list(got["orbit_t0"]) == [t - 1 for t in got["t0"]] and [n[0] for n in got["elements"]] == [t + 1 for t in got["t0"]]
+    left = {k: len(s.rows) for k, s in handle.lists.items()}
+    assert left == {"ephemerides": 100, "orbits": 67, "clocks": 37} and handle.timers[1:] == [201_000]
+    assert [s.calls for s in handle.lists.values()] == [2, 2, 2]
+    assert list(m.handleExpiredTimer((5,), At(200_000), None)) == []
+
+
+def test_a_batch_of_a_log_is_one_call(spark):
+    s, handle = life_stream.Life(), Counted()
+    s.init(handle)
+    pdf = pd.DataFrame({"at": [30, 10, 20, 0], "kind": ["data", "add", "other", "data"]})
+    assert list(s.handleInputRows((1,), iter([pdf, pdf]), At(0))) == []
+    assert handle.lists["waiting"].calls == 1 and len(handle.lists["waiting"].rows) == 6 and handle.timers == [0]
