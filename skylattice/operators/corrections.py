@@ -8,7 +8,7 @@ numbers (orbit.ELEMENTS; or radial, along, across and their rates; or the clock'
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +78,8 @@ def with_corrected_satellites(obs: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 POINTS = "srcid long, t double, x double, y double, z double, n int"
+#: What the filter takes of a row.
+SEEN = ("t", "sat", "sx", "sy", "sz", "sclock", "el", "code", "phase", "slip", "x0", "y0", "z0")
 
 
 def precise_points(obs: DataFrame) -> DataFrame:
@@ -87,13 +89,19 @@ def precise_points(obs: DataFrame) -> DataFrame:
     lat, lon, _ = geodesy.position(*here)
     el = geodesy.elevation(F.col("_lat"), F.col("_lon"), tuple(p - q for p, q in zip(there, here, strict=True)))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, out = None, []
-        for t, g in pdf.sort_values(["t", "sat"]).groupby("t", sort=True):
-            c = {k: g[k].to_numpy() for k in g.columns}
-            f = f or precise.PointFilter(np.array([c["x0"][0], c["y0"][0], c["z0"][0]]))
-            if f.epoch(c["sat"], np.stack([c["sx"], c["sy"], c["sz"]], axis=1), c["sclock"] / geodesy.C, c["el"], c["code"], c["phase"], c["slip"].astype(bool)):
-                out.append((int(c["srcid"][0]), float(t), *map(float, f.position), len(g)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in POINTS.split(", ")])
-
-    return obs.withColumns({"_lat": lat, "_lon": lon}).withColumn("el", el).groupBy("srcid").applyInPandas(solve, POINTS)
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in POINTS.split(", ")])
+
+    def solve(table: pa.Table) -> pa.Table:
+        c = {k: table[k].to_numpy() for k in SEEN}
+        order = np.lexsort((c["sat"], c["t"]))
+        c = {k: v[order] for k, v in c.items()}
+        where, slip, clock = np.stack([c["sx"], c["sy"], c["sz"]], axis=1), c["slip"].astype(bool), c["sclock"] / geodesy.C
+        starts = np.flatnonzero(np.diff(c["t"], prepend=np.nan) != 0).tolist()
+        f, out = precise.PointFilter(np.array([c["x0"][0], c["y0"][0], c["z0"][0]])), []
+        for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
+            if f.epoch(c["sat"][i:j], where[i:j], clock[i:j], c["el"][i:j], c["code"][i:j], c["phase"][i:j], slip[i:j]):
+                out.append((table["srcid"][0].as_py(), float(c["t"][i]), *map(float, f.position), j - i))
+        return pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=schema)
+
+    return obs.withColumns({"_lat": lat, "_lon": lon}).withColumn("el", el).select("srcid", *SEEN).groupBy("srcid").applyInArrow(solve, POINTS)

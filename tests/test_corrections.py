@@ -220,3 +220,12 @@ def test_a_batch_of_a_log_is_one_call(spark):
     pdf = pd.DataFrame({"at": [30, 10, 20, 0], "kind": ["data", "add", "other", "data"]})
     assert list(s.handleInputRows((1,), iter([pdf, pdf]), At(0))) == []
     assert handle.lists["waiting"].calls == 1 and len(handle.lists["waiting"].rows) == 6 and handle.timers == [0]
+
+
+def test_points_go_through_arrow_groups(spark):
+    """A source with too few satellites has no row; groups are Arrow tables, and columns that the filter doesn't take stay out of them."""
+    x = spark.range(3).select(F.lit(1).cast("long").alias("srcid"), F.lit(0.0).alias("t"), F.col("id").alias("sat"), F.lit("other").alias("other"), F.lit(False).alias("slip"), *[F.lit(2.2e7).alias(c) for c in ("code", "phase", "sx", "sy", "sz", "sclock")], *[F.lit(3.7e6).alias(c) for c in ("x0", "y0", "z0")])
+    got = corrections.precise_points(x)
+    assert got.collect() == [] and got.columns == ["srcid", "t", "x", "y", "z", "n"]
+    text = got._jdf.queryExecution().analyzed().toString()
+    assert "InArrow" in text and "InPandas" not in text
