@@ -298,3 +298,22 @@ def test_solver_takes_epochs_of_no_rows_and_of_null(spark):
     kind = "srcid long, t double, o array<struct<sat: long, p: double, sx: double, sy: double, sz: double, sclock: double, delay: double, weight: double>>"
     got = pointing.solved(spark.createDataFrame([(1, 0.0, []), (2, 0.0, None), (3, 0.0, [(1, 2e7, 2.6e7, 0.0, 0.0, 0.0, 0.0, 1.0)])], kind)).collect()
     assert [(r.srcid, r.x, r.rms, r.n) for r in sorted(got, key=lambda r: r.srcid)] == [(1, None, None, 0), (2, None, None, 0), (3, None, None, 1)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_integers_from_the_last_reduction_are_the_same(seed):
+    """A lattice that has changed a little is reduced from where the last one ended: same integers and distances, and hardly a round."""
+    rng = np.random.default_rng(seed)
+    lower = np.tril(rng.normal(size=(9, 9)), -1) * 3 + np.diag(rng.uniform(0.01, 3, 9))
+    q, a, kept, seen = lower @ lower.T, rng.normal(0, 50, 9), [], []
+    ambiguity.resolve(a, q, turned=kept)
+    near = q * 1.01
+    with pytest.MonkeyPatch.context() as patch:
+        plain = ambiguity.reduced
+        patch.setattr(ambiguity, "reduced", lambda r: seen.append(plain(r)) or seen[-1])
+        best, s = ambiguity.resolve(a, near, turned=kept)
+    want, far = ambiguity.resolve(a, near)
+    assert np.array_equal(best, want) and np.allclose(s, far, rtol=1e-6)
+    assert np.array_equal(np.abs(seen[0][1]), np.eye(9)) and abs(abs(np.linalg.det(kept[0])) - 1) < 1e-6
+    ambiguity.resolve(a[:4], q[:4, :4], turned=kept)  # of another size: from the start
+    assert kept[0].shape == (4, 4)
