@@ -1,11 +1,14 @@
 """Queries over rows that the given tables don't hold, and steps whose groups or tasks must not grow with the table."""
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import orbit
 from skylattice.kernels import ambiguity, orbits
+from skylattice.operators import staging
 from skylattice.plans import baselines, catalog, files, joins, scalars
 from skylattice.plans.surrogate import sta
 
@@ -105,3 +108,28 @@ def test_reduction_keeps_the_lattice():
         assert np.allclose(b.T @ b, z.T @ r.T @ r @ z, rtol=1e-6, atol=1e-9 * np.abs(r.T @ r).max()) and round(abs(np.linalg.det(z))) == 1
         own, beside = np.diag(b) ** 2, np.diag(b, 1) ** 2
         assert (np.abs(np.triu(b, 1)) <= 0.5001 * np.abs(np.diag(b))[:, None]).all() and (0.989 * own[:-1] <= own[1:] + beside).all()
+
+
+def test_stations_of_virtual_rows_take_turns(spark, monkeypatch):
+    """All stations come out, and the tables of a turn are gone when the next one begins."""
+    there = lambda: sorted(p.name for p in pathlib.Path(staging.shared_dir(spark).removeprefix("file://")).glob("step-*"))
+    seen, first = [], there()
+
+    def work(part):
+        seen.append((part.count(), there()))
+        return staging.staged(staging.staged(part).groupBy("id").count())
+
+    monkeypatch.setattr(baselines, "TURN", 3)
+    monkeypatch.setattr(baselines, "_virtual_rows", work)
+    stations = sta(spark, SMALL).select("id")
+    got = baselines.virtual_rows(spark, SMALL)
+    assert sorted(got.collect()) == sorted((r.id, 1) for r in stations.collect())
+    assert len(seen) == -(-stations.count() // 3) > 1 and all(steps == first for _, steps in seen) and there() == first
+    assert spark.conf.get(staging.CLEANUP) == "false"
+
+
+def test_turns_hold_rows_without_a_key_and_empty_tables(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (5, 3), (5, 3), (6, 4)], "k long, v long")
+    turns = lambda df, most: sorted(staging.in_turn(df, "k", most, lambda part: part.groupBy("k").agg(F.sum("v").alias("v"))).collect(), key=str)
+    assert turns(rows, 1) == turns(rows, 100) == sorted([(None, 3), (5, 6), (6, 4)], key=str)
+    assert turns(rows.filter("v > 9"), 1) == []
